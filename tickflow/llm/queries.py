@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickflow.llm import mixing
+from tickflow.llm import chat, mixing, shared, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +17,38 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    read = chat.read_threads(chat.format_threads(chat.linear_messages(turns.unionByName(added))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = shared.shared_dir(spark)
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), where)
+    read = warc.read_warc(spark, where)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op7_chat": op7_chat,
+    "op9_warc": op9_warc,
 }
 
 ORACLE = {
     "op5_mixing": mixing.ORACLE,
+    "op7_chat": chat.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
