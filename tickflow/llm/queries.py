@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import chat, mixing, shared, warc
+from tickflow.llm import bpe, chat, mixing, shared, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +49,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(bpe.encode_documents(_documents(spark, sf_dir), tokenizer_path()))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = shared.shared_dir(spark)
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), where)
@@ -44,6 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_chat": op7_chat,
+    "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
 }
 
