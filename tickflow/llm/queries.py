@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, mixing, shared, warc
+from tickflow.llm import bpe, chat, mixing, shared, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +60,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_chat": op7_chat,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
