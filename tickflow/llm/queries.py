@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, mixing, quality, shared, toxicity, warc
+from tickflow.llm import bpe, chat, media, mixing, quality, shared, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def media_digests(docs: DataFrame, where: str) -> DataFrame:
+    payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload")
+    media.write_archives(docs.select("doc_id", payload), where)
+    read = media.features(media.read_archives(docs.sparkSession, where))
+    size = F.octet_length("payload")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substr(F.col("payload"), size - 15, F.lit(16))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_documents(spark, sf_dir), shared.shared_dir(spark))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -78,6 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_mixing": op5_mixing,
+    "op6_media": op6_media,
     "op7_chat": op7_chat,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
