@@ -104,7 +104,7 @@ def write_warc(
     pages: DataFrame,
     where: str,
     min_dedup_bytes: int = 0,
-    pages_per_shard: int = 4096,
+    pages_per_shard: int = 1024,
     max_file_bytes: int = 64 << 20,
     date: str = "2024-01-01T00:00:00Z",
 ) -> list[str]:
@@ -122,28 +122,34 @@ def write_warc(
         F.sha1(F.encode(html, "UTF-8")).alias("sha1"),
         F.octet_length(html).alias("size"),
     )
-    first = keyed.filter(F.col("size") >= min_dedup_bytes).groupBy("sha1").agg(F.max("page_id").alias("response"))
-    typed = keyed.join(first, "sha1", "left").select(
-        "page_id",
-        "url",
-        "html",
-        F.when(F.col("size") >= min_dedup_bytes, F.col("response")).otherwise(F.col("page_id")).alias("response"),
-        F.coalesce(F.floor(F.col("page_id") / pages_per_shard), F.lit(-1)).cast("long").alias("shard"),
-    )
+    # Only ids and digests are shuffled to find the copies; payloads move once, to their shard.
+    shard = F.coalesce(F.floor(F.col("page_id") / pages_per_shard), F.lit(-1)).cast("long").alias("shard")
+    ids = keyed.filter(F.col("size") >= min_dedup_bytes).select("page_id", "sha1")
+    first = ids.groupBy("sha1").agg(F.max("page_id").alias("response"))
+    copies = ids.distinct().join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("response")))
+    none = F.lit(None).cast("string")
+    copies = copies.select(shard, "page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "sha1", "response")
+    payloads = keyed.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", "sha1", F.lit(None).cast("long").alias("response"))
     # A shard is a bounded range of ids; every shard is whole in one task.
-    ranged = typed.repartition("shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    ranged = payloads.union(copies).repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done, shard, roll = _Roller(where, max_file_bytes), [], None, 0
+        page, refers = None, {}
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                page_id, url, text, response, at = row
+            for at, page_id, kind, url, text, sha1, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (at, page_id) != page:
+                    page, refers = (at, page_id), {}
+                if kind == 0:
+                    refers[sha1] = response
+                    continue
                 if at != shard or roller.out is None:
                     if roller.out is not None:
                         done.append(roller.close())
                     shard, roll = at, 0 if at != shard else roll + 1
                     roller.open(shard, roll)
-                roller.put(gzip_member(record(page_id, url, text.encode(), response, response != page_id, date)))
+                to = refers.get(sha1)
+                roller.put(gzip_member(record(page_id, url, text.encode(), to, to is not None, date)))
                 if roller.bytes >= max_file_bytes:
                     done.append(roller.close())
         if roller.out is not None:
