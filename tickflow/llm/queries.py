@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, jaccard, media, mixing, quality, shared, toxicity, warc
+from tickflow.llm import bpe, chat, jaccard, media, mixing, quality, shared, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def span_digests(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(suffixes.deduplicate(_documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -101,6 +109,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op2_quality": op2_quality,
     "op4_jaccard": op4_jaccard,
     "op5_mixing": op5_mixing,
