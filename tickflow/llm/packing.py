@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -23,6 +24,43 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("id"), "text").mapInArrow(pack, "id long, packed binary")
 
 
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = 16 << 20) -> Iterator[tuple[int, list, list[str]]]:
+    """(block id, doc ids, texts) of batches (doc_id, text): bounded, and the id follows from the documents alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def block() -> tuple[int, list, list[str]]:
+        ids = [x for b in held for x in b.column(0).to_pylist()]
+        texts = [x or "" for b in held for x in b.column(1).to_pylist()]
+        name = xxhash.xxh64_intdigest(repr([(i, len(t)) for i, t in zip(ids, texts, strict=True)]))
+        return name - (1 << 63), ids, texts
+
+    for batch in chunks(batches, "text", block_bytes // 8):
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= block_bytes:
+            yield block()
+            held, size = [], 0
+    if held:
+        yield block()
+
+
+def packed_blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_id, packed) of every row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for block, ids, texts in blocks(batches):
+            for at in range(0, len(ids), 1000):
+                packed = [squeeze(t.encode()) for t in texts[at : at + 1000]]
+                names = pa.array([block] * len(packed), pa.int64())
+                arrays = [names, pa.array(ids[at : at + 1000], pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "packed"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(pack, "block long, doc_id long, packed binary")
+
+
 def unpack_texts(column: pa.Array) -> list[str]:
     return [x.decode() for x in unpack_bytes(column)]
 

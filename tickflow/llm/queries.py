@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, jaccard, media, mixing, quality, shared, suffixes, toxicity, warc
+from tickflow.llm import bpe, chat, jaccard, lm, media, mixing, quality, shared, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -111,6 +115,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_quality": op2_quality,
+    "op3_lm": op3_lm,
     "op4_jaccard": op4_jaccard,
     "op5_mixing": op5_mixing,
     "op6_media": op6_media,
