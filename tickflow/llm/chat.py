@@ -93,18 +93,23 @@ def format_threads(messages: DataFrame, branches: int = 1) -> DataFrame:
         far = reach.select(
             F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("total").alias("t2")
         )
+        # Messages that have met their root are done and take no part in the join.
+        moved = reach.filter("anc IS NOT NULL").join(far, "anc")
         reach = written(
-            reach.join(far, "anc", "left").select(
-                "node",
-                F.col("anc2").alias("anc"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
+            reach.filter("anc IS NULL").union(
+                moved.select(
+                    "node",
+                    F.col("anc2").alias("anc"),
+                    (F.col("depth") + F.col("d2")).alias("depth"),
+                    (F.col("total") + F.col("t2")).alias("total"),
+                )
             )
         )
         was, still = still, reach.filter("anc IS NOT NULL").count()
         if still == was:  # each round brings some message to its root, unless all left are on cycles
             break
-        rounds.append(reach)
+        if still:
+            rounds.append(reach)
 
     parents = messages.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("node")).distinct()
     leaves = (
@@ -114,18 +119,11 @@ def format_threads(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     best = Window.partitionBy("conv_id").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
-    way = chosen.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    way = written(chosen.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     for k, step in enumerate(rounds):
         hop = step.filter("anc IS NOT NULL").select("node", "anc")
-        both = F.array(
-            F.struct(F.col("node").alias("node"), F.col("up").alias("up")),
-            F.struct(F.col("anc").alias("node"), (F.col("up") + 2**k).alias("up")),
-        )
-        way = (
-            way.join(hop, "node", "left")
-            .select("conv_id", "leaf", F.explode(F.when(F.col("anc").isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("x"))
-            .select("conv_id", "leaf", "x.node", "x.up")
-        )
+        above = way.join(hop, "node").select("conv_id", "leaf", F.col("anc").alias("node"), (F.col("up") + 2**k).alias("up"))
+        way = written(way.union(above))
     said = messages.select(F.col("msg_id").alias("node"), "role", "text")
     head = F.concat(F.lit(START), _escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
     turns = way.join(said, "node").select(
