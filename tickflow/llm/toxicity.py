@@ -50,7 +50,7 @@ class Settings:
     attention: int = 8
     window: int = 64
     stride: int = 48
-    epochs: int = 5
+    steps: int = 240
     batch: int = 48
     rate: float = 0.01
     seed: int = 7
@@ -207,8 +207,9 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Netw
     owner = np.repeat(np.arange(len(word)), np.diff(np.append(first, len(gram))))
     y = np.array(labels, np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step, total = 0, s.epochs * -(-len(docs) // s.batch)
-    for _ in range(s.epochs):
+    epochs = -(-s.steps // -(-len(docs) // s.batch))
+    step, total = 0, epochs * -(-len(docs) // s.batch)
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), s.batch):
             pick = order[at : at + s.batch]
