@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tickflow.plans import stream_queries, table_queries  # noqa: F401
+from tickflow.plans.registry import ORACLE, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
