@@ -25,6 +25,7 @@ import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -104,6 +105,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def pack_words(words: list[str], ids: list[bytes]) -> bytes:
+    """Words with their ids, compressed: counts, lengths, words, ids."""
+    raw = [w.encode() for w in words]
+    sizes = np.array([len(raw), *map(len, raw), *map(len, ids)], "<u4")
+    every = np.frombuffer(b"".join(ids), "<u4")
+    wide = bool(len(every)) and int(every.max()) > 0xFFFF
+    body = bytes([wide]) + sizes.tobytes() + b"".join(raw) + (every if wide else every.astype("<u2")).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def unpack_words(packed: bytes) -> Iterator[tuple[str, bytes]]:
+    body = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(body[1:5], "little")
+    sizes = np.frombuffer(body, "<u4", 2 * n, 5)
+    ends = np.cumsum(sizes[:n]).tolist()
+    id_ends = np.cumsum(sizes[n:]).tolist()
+    at = 5 + 8 * n
+    text, rest = body[at : at + (ends[-1] if n else 0)], body[at + (ends[-1] if n else 0) :]
+    ids = np.frombuffer(rest, "<u4" if body[0] else "<u2").astype("<u4").tobytes()
+    for lo, hi, a, b in zip([0, *ends], ends, [0, *id_ends], id_ends, strict=False):
+        yield text[lo:hi].decode(), ids[a:b]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
     """(block id, doc ids, texts): the id follows from the documents alone."""
     held: list[pa.RecordBatch] = []
@@ -142,18 +166,27 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), part], ["block", "word"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, known = vocabulary(path), {}
+        voc, known, held, rows = vocabulary(path), {}, {}, 0
+
+        def packs() -> Iterator[pa.RecordBatch]:
+            for block, words in held.items():
+                packed = pack_words(words, [known[w] for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "packed"])
+
         for batch in batches:
-            words = batch.column(1).to_pylist()
+            blocks, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > 1_000_000:  # only memory: a word is then encoded anew
-                known, new = {}, list(dict.fromkeys(words))
             known.update(zip(new, voc.encode(new), strict=True))
-            ids = pa.array([known[w] for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["block", "word", "ids"])
+            for block, word in zip(blocks, words, strict=True):
+                held.setdefault(block, []).append(word)
+            rows += len(words)
+            if rows >= 1_000_000:  # bounds the memory; a word may then be encoded anew
+                yield from packs()
+                known, held, rows = {}, {}, 0
+        yield from packs()
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for block, ids, texts in _blocks(batches):
             for at in range(0, len(ids), 1000):
                 packed = [pack(t.encode()) for t in texts[at : at + 1000]]
@@ -168,7 +201,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
         voc = vocabulary(path)
-        ids_of = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        ids_of: dict[str, bytes] = {}
+        for packed in words.column("packed").to_pylist():
+            ids_of.update(unpack_words(packed))
         piece_of = {w: voc.decode(i) for w, i in ids_of.items()}
         unpack = zstandard.ZstdDecompressor().decompress
         n_tokens, ids, decoded = [], [], []
@@ -191,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         )
 
     words = texts.mapInArrow(list_words, "block long, word string").repartition("word")
-    coded = words.mapInArrow(encode_words, "block long, word string, ids binary")
+    coded = words.mapInArrow(encode_words, "block long, packed binary")
     packed = texts.mapInArrow(pack_texts, "block long, doc_id long, packed binary")
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ENCODED)
 
