@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickflow.plans import stream_queries, table_queries  # noqa: F401
+from tickflow.plans import model_queries, stream_queries, table_queries  # noqa: F401
 from tickflow.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
