@@ -33,14 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.shared import chunks
+from tickflow.llm.packing import blocks, packed_blocks
 
 #: The byte-level pattern, with white space as Unicode defines it.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-BLOCK_BYTES = 16 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -128,42 +127,27 @@ def unpack_words(packed: bytes) -> Iterator[tuple[str, bytes]]:
         yield text[lo:hi].decode(), ids[a:b]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(block id, doc ids, texts): the id follows from the documents alone."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def block() -> tuple[int, list, list[str]]:
-        ids = [x for b in held for x in b.column(0).to_pylist()]
-        texts = [x or "" for b in held for x in b.column(1).to_pylist()]
-        name = xxhash.xxh64_intdigest(repr([(i, len(t)) for i, t in zip(ids, texts, strict=True)]))
-        return name - (1 << 63), ids, texts
-
-    for batch in chunks(batches, "text", BLOCK_BYTES // 8):
-        held.append(batch)
-        size += batch.column(1).nbytes
-        if size >= BLOCK_BYTES:
-            yield block()
-            held, size = [], 0
-    if held:
-        yield block()
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded for each row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Words are dealt by hash to more parts than the shuffle has tasks; equal words share a part.
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for block, _, texts in _blocks(batches):
+        for block, _, texts in blocks(batches):
             found: set[str] = set()
             for text in texts:
                 found.update(voc.words(text))
-            words = list(found)
+            dealt: list[list[str]] = [[] for _ in range(parts)]
+            for word in found:
+                dealt[xxhash.xxh32_intdigest(word) % parts].append(word)
             del found
-            for at in range(0, len(words), 50_000):
-                part = pa.array(words[at : at + 50_000], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), part], ["block", "word"])
+            for part, words in enumerate(dealt):
+                if words:
+                    packed = pack_words(words, [b""] * len(words))
+                    arrays = [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([packed], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["part", "block", "packed"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, known, held, rows = vocabulary(path), {}, {}, 0
@@ -174,31 +158,17 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "packed"])
 
         for batch in batches:
-            blocks, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, voc.encode(new), strict=True))
-            for block, word in zip(blocks, words, strict=True):
-                held.setdefault(block, []).append(word)
-            rows += len(words)
-            if rows >= 1_000_000:  # bounds the memory; a word may then be encoded anew
-                yield from packs()
-                known, held, rows = {}, {}, 0
+            for block, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = [w for w, _ in unpack_words(packed)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, voc.encode(new), strict=True))
+                held.setdefault(block, []).extend(words)
+                rows += len(words)
+                if rows >= 1_000_000:  # bounds the memory; a word may then be encoded anew
+                    yield from packs()
+                    known, held, rows = {}, {}, 0
         yield from packs()
 
-    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for block, ids, texts in _blocks(batches):
-            for at in range(0, len(ids), 1000):
-                packed = [pack(t.encode()) for t in texts[at : at + 1000]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block] * len(packed), pa.int64()),
-                        pa.array(ids[at : at + 1000], pa.int64()),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    ["block", "doc_id", "packed"],
-                )
-
     def join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
         voc = vocabulary(path)
         ids_of: dict[str, bytes] = {}
@@ -225,10 +195,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             }
         )
 
-    words = texts.mapInArrow(list_words, "block long, word string").repartition("word")
+    words = texts.mapInArrow(list_words, "part long, block long, packed binary").repartition("part")
     coded = words.mapInArrow(encode_words, "block long, packed binary")
-    packed = texts.mapInArrow(pack_texts, "block long, doc_id long, packed binary")
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ENCODED)
+    return packed_blocks(docs).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ENCODED)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
