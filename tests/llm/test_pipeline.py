@@ -55,3 +55,20 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables[0]).collect()
     assert out and set(out[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_one_row_of_a_group_stays(spark, tables):
+    """Repeated rows, null ids and ids shared by different texts, through both stages that remove copies."""
+    texts = [r[1] for r in tables[1][7:12]]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in texts]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (None, texts[1]), (None, near[1]), (None, texts[1])]
+    rows += [(5, texts[2]), (7, near[2]), (7, texts[3]), (9, texts[4]), (None, near[4]), (11, ""), (11, "")]
+    docs = spark.createDataFrame([(*r, "en", "src", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "")
+    assert one.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in one.collect()), key=str)
+    (none,) = [t for i, t in got if i is None]
+    assert none in (texts[1], near[1])
+    assert got == sorted([(1, texts[0]), (None, none), (5, texts[2]), (7, texts[3]), (9, texts[4]), (11, ""), (11, "")], key=str)
+    cut = corpus_pipeline.drop_repeated_passages(spark, one, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in cut), key=str) == got

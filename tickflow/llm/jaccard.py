@@ -20,7 +20,7 @@ Defined results for odd input
 -----------------------------
 * null or blank text: no shingles, its own component;
 * fewer words than a shingle has: the whole sequence is the one shingle;
-* repeated rows are one class (``keep_one`` keeps rows of one id together); a null doc_id takes part and never names a
+* repeated rows are one class, and ``keep_one`` keeps one of them; a null doc_id takes part and never names a
   component unless all of its ids are null;
 * an empty table gives no rows; further columns are ignored.
 
@@ -152,13 +152,15 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(v) for v in sets], pa.int64()),
                     pa.array([class_of(v) if len(v) else None for v in sets], pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "cls"],
+                ["doc_id", "digest", "n_shingles", "cls"],
             )
 
-    return docs.mapInArrow(classify, "doc_id long, n_shingles long, cls long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return rows.mapInArrow(classify, "doc_id long, digest long, n_shingles long, cls long")
 
 
 def _shared_keys(docs: DataFrame, s: Settings) -> DataFrame:
@@ -305,12 +307,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, cls, n_links of every row of ``docs``.
-
-    ``n_links`` counts the links that were found from the class; a class of a
-    component has at least one, others none.
-    """
+def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, cls, root) of every row, and the links that join the classes; blank texts have no root."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = written(_classes(docs, s))
     shared = written(_shared_keys(docs, s))
@@ -345,8 +343,18 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             roots = components(links)
         elif not missed.limit(1).count():
             break
-    counts = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return named, links
+
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id, cls, n_links of every row of ``docs``.
+
+    ``n_links`` counts the links that were found from the class; a class of a
+    component has at least one, others none.
+    """
+    named, links = _joined(docs, s)
+    counts = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     return (
         named.join(least, "root", "left")
@@ -362,7 +370,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings(words=5, percent=80, ratio=1.5)) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the one with the least id stays."""
-    groups = near_duplicates(docs, s).select("doc_id", "component_id")
-    lost = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without near duplicates: of each group one row of the least id stays, null ids last.
+
+    A row is told by its id and the hash of its text; of rows that share both one stays.
+    """
+    named, _ = _joined(docs, s)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    rows = named.filter("root IS NOT NULL").groupBy("root", row.alias("row")).agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    marked = rows.join(first, "root").filter("n > 1 OR row <> first")
+    marked = written(marked.select("row.*", (F.col("row") == F.col("first")).alias("repeated")))
+    same = docs["doc_id"].cast("long").eqNullSafe(marked["doc_id"]) & (F.xxhash64(docs["text"]) == marked["digest"])
+    kept = docs.join(marked, same, "left_anti")
+    if marked.filter("repeated").limit(1).count():
+        again = docs.join(marked.filter("repeated"), same, "left_semi")
+        kept = kept.union(again.withColumn("text_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "text_digest"]).drop("text_digest"))
+    return kept.select(*docs.columns)
