@@ -78,3 +78,17 @@ def test_empty_and_components(spark):
     links = [(1, 2), (2, 3), (3, 9), (9, 4), (20, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert [got[k] for k in (1, 2, 3, 4, 9, 20, 21, 140)] == [1, 1, 1, 1, 1, 20, 20, 100]
+
+
+@pytest.mark.parametrize("band", [1024, 3])
+def test_all_links_are_counted(spark, monkeypatch, band):
+    """Every class reports all other classes it is linked to, within and between bands; copies are one class."""
+    monkeypatch.setattr(jaccard, "BAND", band)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:100] + [f"x{i}"]) for i in range(12)] + [" ".join(base[: 70 + i]) for i in range(0, 50, 4)] + ["alone here now", None]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0], texts[0]])] + [(0, texts[0])]
+    sets = [{tuple((t or "").split()[k : k + 3]) for k in range(len((t or "").split()) - 2)} for _, t in rows]
+    linked = lambda a, b: a != b and a & b and 100 * len(a & b) >= 90 * len(a | b)
+    want = sorted((i, len({frozenset(b) for b in sets if linked(a, b)})) for (i, _), a in zip(rows, sets, strict=True))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_links")
+    assert sorted(map(tuple, got.collect())) == want and max(n for _, n in want) > 11

@@ -13,8 +13,8 @@ fewer of them than the P - d parts that must agree.
 Sets that share a key are candidates.  First each is checked against the least
 class of its key; then, for keys whose sets are not yet in one component, pairs
 across components pass a Hamming filter and are checked, in rounds, until they are
-joined or no unchecked pair is left.  Checks compare whole sets.  Within a component no pair is needed,
-so copies are not expanded.
+joined or no unchecked pair is left.  Checks compare whole sets.  Linked sets lie in one component, so the
+links of a class are counted there, between bands of classes; copies are not expanded.
 
 Defined results for odd input
 -----------------------------
@@ -46,6 +46,7 @@ from tickflow.llm.words import Texts, grams, mix
 CHUNK = 1 << 21
 SKETCH_WORDS = 32
 SALTS = 16
+BAND, BAND_BYTES = 1024, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -307,8 +308,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, n_shingles, cls, root) of every row, and the links that join the classes; blank texts have no root."""
+def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, cls, root) of every row, the components and the sets; blank texts have no root."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = written(_classes(docs, s))
     shared = written(_shared_keys(docs, s))
@@ -344,17 +345,58 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         elif not missed.limit(1).count():
             break
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return named, links
+    return named, roots, sets
+
+
+def _link_counts(roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """(cls, n_links): the other classes each is linked to.
+
+    Linked classes are in one component.  Its classes are dealt to bands, and each pair of bands is a group
+    of its own, which holds two bands: about ``2 * BAND`` sets, or ``2 * BAND_BYTES`` of them.
+    """
+    rows = roots.select(F.col("node").alias("cls"), "root").join(sets.select("cls", "shingles").dropDuplicates(["cls"]), "cls")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.octet_length("shingles")).alias("b"))
+    bands = F.ceil(F.greatest(F.col("m") / BAND, F.col("b") / BAND_BYTES)).cast("int")
+    rows = rows.join(sizes.select("root", bands.alias("bands")), "root").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("bands")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "shingles")
+
+    def count(group: pa.Table) -> pa.Table:
+        lo, own = group.column("lo").to_numpy(), group.column("own").to_numpy()
+        same = bool(group.column("hi")[0].as_py() == lo[0])
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        n = np.array([len(v) for v in sets])
+        left, right = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(own == lo), np.flatnonzero(own != lo))
+        both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2^24 are exact
+        _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)
+        value, row = (np.cumsum(often > 1) - 1)[value[often[value] > 1]], row[often[value] > 1]
+        order = np.argsort(value)
+        value, row = value[order], row[order]
+        for at in range(0, int(value[-1]) + 1 if len(value) else 0, 2048):
+            part = slice(*np.searchsorted(value, (at, at + 2048)))
+            has = np.zeros((len(n), 2048), np.float32)
+            has[row[part], value[part] - at] = 1
+            both += has[left] @ has[right].T
+        links = 100 * both.astype(np.int64) >= s.percent * (n[left][:, None] + n[right] - both.astype(np.int64))
+        out = np.zeros(len(n), np.int64)
+        if same:
+            np.fill_diagonal(links, False)
+        out[left] += links.sum(1)
+        if not same:
+            out[right] += links.sum(0)
+        return pa.table({"cls": group.column("cls"), "n": pa.array(out)})
+
+    return rows.groupBy("root", "lo", "hi").applyInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, cls, n_links of every row of ``docs``.
 
-    ``n_links`` counts the links that were found from the class; a class of a
-    component has at least one, others none.
+    ``n_links`` counts all other classes that the row's class is linked to; copies are one class.
     """
-    named, links = _joined(docs, s)
-    counts = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    named, roots, sets = _joined(docs, s)
+    counts = _link_counts(roots, sets, s)
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     return (
         named.join(least, "root", "left")
@@ -374,7 +416,7 @@ def keep_one(docs: DataFrame, s: Settings = Settings(words=5, percent=80, ratio=
 
     A row is told by its id and the hash of its text; of rows that share both one stays.
     """
-    named, _ = _joined(docs, s)
+    named, *_ = _joined(docs, s)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     rows = named.filter("root IS NOT NULL").groupBy("root", row.alias("row")).agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min("row").alias("first"))
