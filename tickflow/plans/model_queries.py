@@ -377,19 +377,19 @@ def stress_cell(spark, sf):
 
 @query("nk_recovery")
 def nk_recovery(spark, sf):
-    return M.neural_recovery(M.seeds(spark, list(S.LEARNED), "scenario", 1), steps=80, polish=20, events=300, per_decade=40)
+    return M.neural_recovery(M.seeds(spark, list(S.LEARNED), "scenario", 1))
 
 
 @query("nk_window_job")
 def nk_window_job(spark, sf):
     stream = _stream(spark, sf)
-    return M.run_neural(stream, ["const", "mlp"], 2, 43_200, 21_600, 86_400.0, 1.0, 10_000.0, steps=80, polish=20, replicates=2, within=1000.0, per_decade=40)
+    return M.run_neural(stream, ["const", "mlp"], 3, 43_200, 21_600, 86_400.0, 1.0, 10_000.0, replicates=20, within=1000.0)
 
 
 @query("nk_heldout")
 def nk_heldout(spark, sf):
     stream = _stream(spark, sf)
-    rows = M.run_neural(stream, ["const"], 3, 28_800, 21_600, 86_400.0, 1.0, 10_000.0, steps=60, polish=10, per_decade=40)
+    rows = M.run_neural(stream, ["const"], 3, 28_800, 21_600, 86_400.0, 1.0, 10_000.0)
     return rows.select("day", "k", "n_events", "heldout_n_events", "heldout_gain_over_poisson_per_event", "heldout_gain_kernel_only_per_event")
 
 
