@@ -14,3 +14,15 @@ def test_neural_queries_do_the_whole_job(monkeypatch):
     (_, bases, n, length, stride, session, *_), named = calls["window"]
     assert bases == ["const", "mlp"] and n == (session - length) // stride + 1 == 3
     assert named == {"replicates": 20, "within": 1000.0} and calls["recovery"] == ((None,), {})
+
+
+def test_robustness_has_all_variants(spark, monkeypatch):
+    stream = spark.createDataFrame([(1, float(t)) for t in range(0, 5000, 7)] + [(2, 3.0)], "day long, t double")
+    monkeypatch.setattr(Q.P, "read_tape", lambda *a, **k: None)
+    monkeypatch.setattr(Q.ST, "trade_stream", lambda *a: stream)
+    got = {name: (length, tuple(fitters)) for name, _, _, length, _, fitters in Q.robustness_streams(spark, "")}
+    assert len(got) == 14 and all(len(f) == 2 for _, f in got.values())
+    assert sorted(length for length, _ in got.values()) == [10_800] + [21_600] * 12 + [43_200]
+    rows = [sorted(map(tuple, Q._jittered(stream, 1000.0, seed).collect())) for seed in (0, 0, 1)]
+    assert rows[0] == rows[1] != rows[2] and len(set(rows[0])) == len(rows[0]) == stream.count()
+    assert sum(t < 1000 for d, t in rows[0] if d == 1) == 143

@@ -275,16 +275,37 @@ def kernel_figure(spark, sf):
     return rows.select("day", "k", "s", F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("phi"))
 
 
+def _jittered(stream: DataFrame, resolution: float, seed: int) -> DataFrame:
+    """Times rounded down to ``resolution`` and spread over it again, drawn for each day on its own."""
+    import pandas as pd
+
+    def day(key, part: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        rng = np.random.default_rng([M.SEED, int(resolution * 1e6), seed, int(key[0])])
+        return pd.DataFrame({"day": key[0], "t": S.jittered(np.sort(part["t"].to_numpy()), resolution, rng)})
+
+    coarse = stream.select("day", C.coarsen_seconds(F.col("t"), resolution).alias("t"))
+    return coarse.groupBy("day").applyInPandas(day, "day long, t double")
+
+
+def robustness_streams(spark, sf: str) -> list[tuple]:
+    """(variant, stream, windows, length, stride, fitters): the reference's 14, all timescales times 1000."""
+    tape = P.read_tape(spark, sf, grid_ns=1000)
+    base, six, both = ST.trade_stream(tape), (7, 21_600, 10_800), ["mix_const", "mix_spline"]
+    out = [("base", base, *six, both)]
+    out += [(f"merge_{ms}ms", ST.trade_stream(tape, ms * 1_000_000), *six, both) for ms in (10, 100, 1000)]
+    out.append(("sided", ST.trade_stream(tape, 0, True), *six, both))
+    out += [(f"rounded_{grid:g}s_seed_{k}", _jittered(base, grid, k), *six, both) for grid in (1.0, 1000.0) for k in range(3)]
+    out += [("window_3h", base, 15, 10_800, 5_400, both), ("window_12h", base, 3, 43_200, 21_600, both)]
+    return [*out, ("grid_1ms", base, *six, ["mix_const_1ms", "mix_spline_1ms"])]
+
+
 @query("robustness_variants")
 def robustness_variants(spark, sf):
-    tape = P.read_tape(spark, sf, grid_ns=1000)
-    variants = {"base": ST.trade_stream(tape), "merge_60s": ST.trade_stream(tape, 60_000_000_000), "sided": ST.trade_stream(tape, 0, True)}
     out = None
-    for name, stream in variants.items():
-        fits = M.run_rolling(stream, ["mix_const"], 7, 21_600, 10_800, unit=UNIT).withColumn("variant", F.lit(name))
+    for name, stream, n, length, stride, names in robustness_streams(spark, sf):
+        fits = M.run_rolling(stream, names, n, length, stride, unit=UNIT).withColumn("variant", F.lit(name))
         out = fits if out is None else out.unionByName(fits)
-    long = M.run_rolling(variants["base"], ["mix_const_1ms"], 3, 43_200, 21_600, unit=UNIT).withColumn("variant", F.lit("window_12h_grid_1ms"))
-    return out.unionByName(long).select("variant", "fitter", "day", "k", "n_events", "n", "converged", "ks_p")
+    return out.select("variant", "fitter", "day", "k", "n_events", "n", "converged", "ks_p")
 
 
 # Simulations.
