@@ -26,3 +26,12 @@ def test_robustness_has_all_variants(spark, monkeypatch):
     rows = [sorted(map(tuple, Q._jittered(stream, 1000.0, seed).collect())) for seed in (0, 0, 1)]
     assert rows[0] == rows[1] != rows[2] and len(set(rows[0])) == len(rows[0]) == stream.count()
     assert sum(t < 1000 for d, t in rows[0] if d == 1) == 143
+
+
+def test_every_fit_has_a_bootstrap_row(spark):
+    schema = "day long, k long, fitter string, t0 double, t1 double, mu array<double>, alpha array<double>, timescales array<double>, n double, n_events long"
+    fit = lambda k, n, events: (1, k, "mix_const", 0.0, 600.0, [0.1], [n / 14] * 14, [float(i + 1) for i in range(14)], n, events)
+    fits = spark.createDataFrame([fit(0, 0.2, 80), fit(1, 1.1, 80), fit(2, 0.0, 0)], schema)
+    got = {r.k: r for r in M.bootstrap(fits, 4, 300.0).collect()}
+    assert set(got) == {0, 1, 2} and got[0].boot_n <= 4
+    assert [(got[k].boot_n, got[k].boot_mean, got[k].boot_hi) for k in (1, 2)] == [(0, None, None)] * 2

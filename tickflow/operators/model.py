@@ -110,13 +110,18 @@ def run_rolling(
 
 
 def bootstrap(fits: DataFrame, replicates: int, burn_in: float, unit: float = 1.0, seed: int = SEED) -> DataFrame:
-    """Refits on simulations from each fit, one group per replicate; then their summary."""
+    """Refits on simulations from each fit, one group per replicate; then their summary.
+
+    Fits with n >= 1 or without events have no replicates, and a row with ``boot_n`` 0.
+    """
     names = list(fitters())
-    rows = fits.filter("n < 1 AND n_events > 0").select("day", "k", "fitter", "t0", "t1", "mu", "alpha", "timescales")
-    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = F.when(F.expr("n < 1 AND n_events > 0"), F.sequence(F.lit(0), F.lit(replicates - 1))).otherwise(F.array(F.lit(-1)))
+    rows = fits.withColumn("replicate", F.explode(drawn)).select("day", "k", "fitter", "t0", "t1", "mu", "alpha", "timescales", "replicate")
 
     def refit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         day, k, name, replicate = key
+        if replicate < 0:
+            return pd.DataFrame([{"day": day, "k": k, "fitter": name, "replicate": replicate, "n": None}])
         r = part.iloc[0]
         kind, pieces = ("spline", 5) if "spline" in name else ("constant", 1)
         mu, alpha, betas = np.array(r.mu), np.array(r.alpha), 1 / np.array(r.timescales)
@@ -130,7 +135,7 @@ def bootstrap(fits: DataFrame, replicates: int, burn_in: float, unit: float = 1.
         return pd.DataFrame([{"day": day, "k": k, "fitter": name, "replicate": replicate, "n": value}])
 
     out = rows.groupBy("day", "k", "fitter", "replicate").applyInPandas(refit, "day long, k long, fitter string, replicate int, n double")
-    return T.bootstrap_summary(out, ["day", "k", "fitter"], "n")
+    return T.bootstrap_summary(out, ["day", "k", "fitter"], "n", keep_empty=True)
 
 
 RECOVERY_ROW = (

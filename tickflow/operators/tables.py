@@ -108,10 +108,12 @@ def robustness_summary(table: DataFrame, base: DataFrame, keys: list[str], value
     )
 
 
-def bootstrap_summary(replicates: DataFrame, keys: list[str], value: str) -> DataFrame:
-    ok = replicates.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return ok.groupBy(*keys).agg(
-        F.count("*").alias("boot_n"),
+def bootstrap_summary(replicates: DataFrame, keys: list[str], value: str, keep_empty: bool = False) -> DataFrame:
+    """Over the replicates with a value; ``keep_empty`` gives groups without any a row of ``boot_n`` 0."""
+    ok = F.col(value).isNotNull() & ~F.isnan(value)
+    rows = replicates.withColumn(value, F.when(ok, F.col(value))) if keep_empty else replicates.filter(ok)
+    return rows.groupBy(*keys).agg(
+        F.count(value).alias("boot_n"),
         F.avg(value).alias("boot_mean"),
         F.stddev_samp(value).alias("boot_sd"),
         F.percentile(value, 0.025).alias("boot_lo"),

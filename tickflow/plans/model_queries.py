@@ -244,7 +244,7 @@ def cond_number(spark, sf):
 @query("parametric_bootstrap")
 def parametric_bootstrap(spark, sf):
     fits = _rolling(spark, sf, ["mix_const"])
-    return M.bootstrap(fits, 5, burn_in=10_800.0, unit=UNIT)
+    return M.bootstrap(fits, 100, burn_in=10_800.0, unit=UNIT)
 
 
 @query("loglik_refit_baseline")
