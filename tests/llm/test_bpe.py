@@ -1,8 +1,10 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tickflow.llm import bpe
@@ -28,7 +30,7 @@ def test_words_encode_as_the_library(text):
     voc = bpe.vocabulary(PATH)
     own = b"".join(voc.encode(voc.words(text)))
     assert own == b"".join(i.to_bytes(4, "little") for i in TOKENIZER.encode(text, add_special_tokens=False).ids)
-    assert voc.decode(own).decode() == text
+    assert voc.text(np.frombuffer(own, "<u4")) == text
 
 
 def test_documents(spark):
@@ -39,6 +41,16 @@ def test_documents(spark):
     assert got == sorted([(r[0], *expected(r[1] or "")) for r in rows], key=str)
 
 
+def test_blocks_cut_otherwise(spark, monkeypatch):
+    """Words that a block lacks, since it was cut otherwise when they were listed, are encoded in place."""
+    rows = [(i, f"word{i} {'x' * i} shared") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = bpe.packed_blocks(docs)
+    monkeypatch.setattr(bpe, "packed_blocks", lambda d: whole.withColumn("block", F.col("block") + F.col("doc_id") % 2))
+    got = sorted(map(tuple, token_digests(bpe.encode_documents(docs, PATH)).collect()))
+    assert got == sorted((i, *expected(t)) for i, t in rows)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(docs, PATH).count() == 0

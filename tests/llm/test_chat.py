@@ -64,3 +64,13 @@ def test_linear(spark):
     assert hashlib.sha256(r.formatted.encode()).hexdigest() == chat.format_threads(chat.linear_messages(frame)).select(
         F.sha2("formatted", 256)
     ).first()[0]
+
+
+def test_repeats_and_shared_ids(spark):
+    """Repeated messages count once, and an id holds within its conversation."""
+    rows = [(1, "a", None, "user", "hi", 0.0), (1, "b", "a", "assistant", "yo", 0.0), (1, "b", "a", "assistant", "yo", 0.0)]
+    rows += [(2, "a", None, "user", "other", 0.0), (2, "b", "a", "assistant", "reply", 0.0), (None, "b", "a", "assistant", "alone", 0.0)]
+    rows += [("11", "b", None, "user", "eleven", 0.0)]
+    frame = spark.createDataFrame([(None if r[0] is None else str(r[0]), *r[1:]) for r in rows], SCHEMA.replace("conv_id long", "conv_id string"))
+    got = {r.conv_id: [t.text for t in r.turns] for r in chat.read_threads(chat.format_threads(frame)).collect()}
+    assert got == {"1": ["hi", "yo"], "2": ["other", "reply"], None: ["alone"], "11": ["eleven"]}

@@ -57,3 +57,23 @@ def test_apply(spark):
     assert {99, 100} <= {r.doc_id for r in got}
     assert all(dict((r[0], r[1]) for r in rows)[r.doc_id].startswith(r.text) for r in got if r.text is not None)
     assert mixing.apply_mix(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns with names that the plan uses come back as they were."""
+    names = ["size", "target", "offset", "start", "skey", "range", "budget", "epochs", "copy", "copies", "cut", "hkey", "digest", "partial"]
+    rows = [(i, f"a{i} b c", f"s{i % 3}", *range(i, i + len(names))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    got = mixing.apply_mix(docs).collect()
+    assert len(got) >= 30
+    for r in got:
+        assert tuple(r)[3:] == tuple(range(r.doc_id, r.doc_id + len(names)))
+    with pytest.raises(ValueError):
+        mixing.plan_mix(docs, carry=["size"])
+
+
+def test_null_ids_spread(spark):
+    """Null ids are keyed by their texts, so they do not share one range."""
+    docs = spark.createDataFrame([(None, f"w{i} " * 3, "a") for i in range(40)], "doc_id long, text string, source string")
+    got = sorted((r.size, r.taken) for r in mixing.plan_mix(docs).collect())
+    assert sum(t for _, t in got) == pytest.approx(1.5 * 120, abs=1) and all(s == 3 for s, _ in got)

@@ -72,3 +72,25 @@ def test_one_row_of_a_group_stays(spark, tables):
     assert got == sorted([(1, texts[0]), (None, none), (5, texts[2]), (7, texts[3]), (9, texts[4]), (11, ""), (11, "")], key=str)
     cut = corpus_pipeline.drop_repeated_passages(spark, one, "").collect()
     assert sorted(((r.doc_id, r.text) for r in cut), key=str) == got
+
+
+def test_clashing_columns(spark, tables):
+    """Further columns with names that the operators use come through every stage as they were."""
+    names = ["score", "kept", "size", "n_removed", "spans", "start", "component_id", "cls"]
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet").filter("doc_id < 40")
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, docs["doc_id"] + k)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables[0])
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == r.doc_id + k for r in rows for k, n in enumerate(names))
+
+
+def test_empty_null_and_long(spark, tables):
+    schema = spark.read.parquet(f"{tables[0]}/documents.parquet").schema
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), tables[0]).count() == 0
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "word " * 60_000, "en", None, None), (None, "x", "en", "s", 1)]
+    for _, stage in corpus_pipeline.STAGES:
+        assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, schema), tables[0]).collect()} >= {1, 2}

@@ -66,3 +66,11 @@ def test_held_out_accuracy(spark):
     assert X.score_documents(docs.limit(0), model, ["doc_id"]).count() == 0
     none = X.fit(docs, known.filter("toxic = 0"))
     assert none[0] is None and X.score_documents(docs, none, ["doc_id"]).count() == len(rows) + len(odd)
+
+
+def test_rows_without_id_are_not_held_out(spark):
+    from tickflow.llm.queries import toxicity_rows
+
+    docs = spark.createDataFrame([(None, "a"), (1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.held_out for r in toxicity_rows(toxicity.score_documents(docs, (None, 0.0), ["doc_id"])).collect()}
+    assert got[None] is False and got[1] in (True, False)

@@ -5,8 +5,8 @@ size.  The distinct words of each block are dealt out by word, so that equal
 words of all blocks meet and each is encoded once; their ids are joined back to
 their block, where every text is put together by the position of its words.
 A block lists a word once, so a frequent word has a row per block and not one
-per occurrence, and no word or document makes a large group.  Decoding looks up
-the piece of each id in the vocabulary (a table of fixed size).
+per occurrence, and no word or document makes a large group.  Decoding gathers
+the piece of each id from the vocabulary (a table of fixed size) that each task holds.
 
 Both passes over the texts cut them into blocks by the same rule.  Were a block
 cut differently the second time, the words that it lacks are encoded in place.
@@ -16,7 +16,8 @@ Defined results for odd input
 * null text: as the empty text, no ids and an empty decoded text;
 * rows with equal or null doc_id: each is encoded on its own;
 * an empty table gives no rows; further columns are not returned;
-* a special token's string inside a text is that token, as in the library.
+* a special token's string inside a text is that token, as in the library;
+* a text longer than a block is a block of its own, and one word of any length is a word: both are held whole by a task.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Vocabulary:
         self.find = regex.compile(PATTERN).findall
         names = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut = regex.compile(f"({names})").split if names else None
-        self._tokenizer = None
+        self._tokenizer = self._table = None
 
     def words(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -94,12 +95,26 @@ class Vocabulary:
                 out.append(b"".join(i.to_bytes(4, "little") for i in e.ids))
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[int.from_bytes(ids[k : k + 4], "little")] for k in range(0, len(ids), 4)])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The pieces of ``ids`` end to end."""
+        if self._table is None:
+            pieces = [self.pieces.get(i, b"") for i in range(max(self.pieces) + 1)]
+            sizes = np.array([len(p) for p in pieces], np.int64)
+            self._table = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes
+        return b"".join([gather(*self._table, ids[k : k + (1 << 17)]).tobytes() for k in range(0, len(ids), 1 << 17)])
 
+    def text(self, ids: np.ndarray) -> str:
+        return self.decode(ids).decode("utf-8", "replace")
 
-@lru_cache(maxsize=2)
+
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of ``data`` that ``which`` names, end to end."""
+    width = sizes[which]
+    ends = np.cumsum(width)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + width, width)]
+
+
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -150,42 +165,50 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, ["part", "block", "packed"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, known, held, rows = vocabulary(path), {}, {}, 0
-
-        def packs() -> Iterator[pa.RecordBatch]:
-            for block, words in held.items():
-                packed = pack_words(words, [known[w] for w in words])
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed], pa.binary())], ["block", "packed"])
-
+        """Rows sorted by part: each distinct word of a part is encoded once, and each block gets its own words back."""
+        voc, at, known = vocabulary(path), None, {}
         for batch in batches:
-            for block, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for part, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    at, known = part, {}
                 words = [w for w, _ in unpack_words(packed)]
                 new = [w for w in words if w not in known]
                 known.update(zip(new, voc.encode(new), strict=True))
-                held.setdefault(block, []).extend(words)
-                rows += len(words)
-                if rows >= 1_000_000:  # bounds the memory; a word may then be encoded anew
-                    yield from packs()
-                    known, held, rows = {}, {}, 0
-        yield from packs()
+                arrays = [pa.array([block], pa.int64()), pa.array([pack_words(words, [known[w] for w in words])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "packed"])
 
     def join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
+        """A block's words have numbers; the ids of a text are gathered by the numbers of its words, its pieces by its ids."""
         voc = vocabulary(path)
-        ids_of: dict[str, bytes] = {}
+        number: dict[str, int] = {}
+        sizes, held = [], []
         for packed in words.column("packed").to_pylist():
-            ids_of.update(unpack_words(packed))
-        piece_of = {w: voc.decode(i) for w, i in ids_of.items()}
+            for word, ids in unpack_words(packed):
+                if word not in number:
+                    number[word] = len(number)
+                    sizes.append(len(ids) // 4)
+                    held.append(ids)
+        coded, sizes = np.frombuffer(b"".join(held), "<u4"), np.array(sizes, np.int64)
+        del held
+        starts = np.cumsum(sizes) - sizes
         unpack = zstandard.ZstdDecompressor().decompress
         n_tokens, ids, decoded = [], [], []
         for packed in docs.column("packed").to_pylist():
             split = voc.words(unpack(packed).decode())
-            if lost := [w for w in dict.fromkeys(split) if w not in ids_of]:
-                ids_of.update(zip(lost, voc.encode(lost), strict=True))
-                piece_of.update((w, voc.decode(ids_of[w])) for w in lost)
-            own = b"".join([ids_of[w] for w in split])
-            n_tokens.append(len(own) // 4)
-            ids.append(own)
-            decoded.append(b"".join([piece_of[w] for w in split]).decode("utf-8", "replace"))
+            try:
+                own = np.fromiter(map(number.__getitem__, split), np.int64, len(split))
+            except KeyError:  # the block was cut otherwise when its words were listed
+                lost = [w for w in dict.fromkeys(split) if w not in number]
+                found = voc.encode(lost)
+                number |= {w: len(number) + k for k, w in enumerate(lost)}
+                more = np.array([len(i) // 4 for i in found], np.int64)
+                coded, sizes = np.concatenate([coded, np.frombuffer(b"".join(found), "<u4")]), np.concatenate([sizes, more])
+                starts = np.cumsum(sizes) - sizes
+                own = np.fromiter(map(number.__getitem__, split), np.int64, len(split))
+            text_ids = gather(coded, starts, sizes, own)
+            n_tokens.append(len(text_ids))
+            ids.append(text_ids.tobytes())
+            decoded.append(voc.text(text_ids))
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -195,7 +218,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             }
         )
 
-    words = texts.mapInArrow(list_words, "part long, block long, packed binary").repartition("part")
+    words = texts.mapInArrow(list_words, "part long, block long, packed binary").repartition("part").sortWithinPartitions("part")
     coded = words.mapInArrow(encode_words, "block long, packed binary")
     return packed_blocks(docs).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ENCODED)
 

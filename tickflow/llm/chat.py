@@ -22,6 +22,10 @@ Defined results for odd input
 * equal turns in ``linear_messages``: ordered by role, then text; repeated rows
   are separate turns; a null turn comes first;
 * ties in score: the deeper branch, then the smaller message id;
+* ids hold within their conversation; of messages of one conversation with the
+  same id the least by parent, role, text and score (nulls first) stays; a null id is an id
+  that no parent names;
+* texts of any length are escaped and formatted whole;
 * further columns of the input are ignored.
 """
 
@@ -58,12 +62,11 @@ def _unescape_role(role: Column) -> Column:
 def linear_messages(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as chains: each turn replies to the one before."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    name = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
     rows = turns.select("conv_id", "turn", "role", "text", F.row_number().over(order).alias("rn"))
     return rows.select(
         "conv_id",
-        F.concat_ws("/", name, F.col("rn")).alias("msg_id"),
-        F.when(F.col("rn") > 1, F.concat_ws("/", name, F.col("rn") - 1)).alias("parent_id"),
+        F.col("rn").alias("msg_id"),
+        F.when(F.col("rn") > 1, F.col("rn") - 1).alias("parent_id"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.lit(0.0).alias("score"),
@@ -73,10 +76,26 @@ def linear_messages(turns: DataFrame) -> DataFrame:
 def format_threads(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The best ``branches`` root-to-leaf paths of each conversation, formatted.
 
-    ``messages``: conv_id, msg_id (unique), parent_id, role, text, score.
-    Returns conv_id, leaf, n_turns, formatted, loss_spans.
+    ``messages``: conv_id, msg_id, parent_id, role, text, score; ids hold within their conversation.
+    Returns conv_id, leaf (a msg_id), n_turns, formatted, loss_spans.
     """
-    messages = written(messages.select("conv_id", "msg_id", "parent_id", "role", "text", "score"))
+    said = F.struct("parent_id", "role", "text", "score")
+    one = messages.select("conv_id", "msg_id", said.alias("said")).groupBy("conv_id", "msg_id").agg(F.min("said").alias("said"))
+    one = one.select("conv_id", F.col("msg_id").alias("own"), "said.*")
+    # One name for a conversation and a message in it; the length keeps names apart.
+    conv = F.coalesce(F.concat(F.char_length(F.col("conv_id").cast("string")), F.lit(":"), F.col("conv_id").cast("string")), F.lit("-"))
+    name = lambda c: F.concat(conv, F.lit("/"), F.col(c).cast("string"))
+    messages = written(
+        one.select(
+            "conv_id",
+            "own",
+            F.coalesce(name("own"), F.concat(conv, F.lit("."))).alias("msg_id"),
+            name("parent_id").alias("parent_id"),
+            "role",
+            "text",
+            "score",
+        )
+    )
     reach = messages.select(
         F.col("msg_id").alias("node"),
         F.col("parent_id").alias("anc"),
@@ -115,11 +134,11 @@ def format_threads(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = (
         reach.filter("anc IS NULL")
         .join(parents, "node", "left_anti")
-        .join(messages.select(F.col("msg_id").alias("node"), "conv_id"), "node")
+        .join(messages.select(F.col("msg_id").alias("node"), "conv_id", "own"), "node")
     )
-    best = Window.partitionBy("conv_id").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "node")
+    best = Window.partitionBy("conv_id").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "own")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
-    way = written(chosen.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    way = written(chosen.select("conv_id", F.col("own").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
     for k, step in enumerate(rounds):
         hop = step.filter("anc IS NOT NULL").select("node", "anc")
         above = way.join(hop, "node").select("conv_id", "leaf", F.col("anc").alias("node"), (F.col("up") + 2**k).alias("up"))

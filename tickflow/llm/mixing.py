@@ -12,11 +12,12 @@ rows is spread over as many ranges as any other.
 Defined results for odd input
 -----------------------------
 * null text: size 0, taken 0; null ``source``: a source of its own, ordered last;
-* null ``doc_id``: keyed as the empty string; repeated rows are separate
-  documents that share a key, taken one after the other;
+* null ``doc_id``: keyed by the text, so that many of them spread too; repeated
+  rows are separate documents that share a key, taken one after the other in the
+  order of id, size and a hash of the text; texts of any length are counted whole;
 * an empty table gives an empty plan; a source without words has target 0;
-* columns of the input are kept by ``apply_mix``; ``plan_mix`` reads only
-  ``doc_id``, ``text`` and ``source``.
+* columns of the input, of any name, are kept by ``apply_mix``; ``plan_mix`` reads
+  only ``doc_id``, ``text`` and ``source``, and refuses to carry a column of its own names.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickflow.llm.shared import aside
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the key that name a range: 16 ** 4 ranges in each source.
 RANGE_DIGITS = 4
+#: Names that the plan gives its own columns.
+OWN = {"doc_id", "source", "size", "source_size", "target", "taken", "epochs", "cut", "hkey", "digest", "skey", "range", "offset", "start", "budget"}
 
 
 def word_count(text: Column) -> Column:
@@ -72,8 +77,13 @@ def plan_mix(
     ``taken`` counts the words that the mix takes from the document, repeats
     included; the document at the cut gives its first words only.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"), key.alias("hkey"))
+    if clash := OWN.intersection(carry):
+        raise ValueError(f"columns to carry have names of the plan: {sorted(clash)}")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.encode(text, "UTF-8")))))
+    sized = docs.select(
+        "doc_id", "source", *carry, word_count(F.col("text")).alias("size"), key.alias("hkey"), F.xxhash64(text).alias("digest")
+    )
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = sized.withColumn("skey", name).withColumn("range", F.substring("hkey", 1, RANGE_DIGITS))
 
@@ -85,7 +95,7 @@ def plan_mix(
     )
     offsets = ranges.select("skey", "range", F.coalesce(before, F.lit(0)).alias("offset")).join(targets, "skey")
 
-    inside = Window.partitionBy("skey", "range").orderBy("hkey", "doc_id", "size")
+    inside = Window.partitionBy("skey", "range").orderBy("hkey", "doc_id", "size", "digest")
     start = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0).cast("long")
@@ -118,37 +128,26 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     words with the white space between them.  ``n_chars``, if there, follows.
     Documents without words are kept once, so that nothing clean is lost.
     """
-    carry = [c for c in docs.columns if c not in ("doc_id", "source")]
-    plan = plan_mix(docs.withColumn("__source", F.col("source")), carry=[*carry, "__source"], **options)
-    size = F.col("size")
+    moved, back = aside(docs, "doc_id", "text", "source")
+    at = dict(zip(docs.columns, moved.columns, strict=False))
+    plan = plan_mix(moved, carry=list(at.values()), **options)
+    text, size = F.col(at["text"]), F.col("size")
     copies = F.when(size == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("cut") > 0).cast("long")).cast("int")
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     short = F.array_join(F.slice(pieces, F.lit(1), F.col("cut").cast("int")), "")
     partial = (size > 0) & (F.col("copy") > F.col("epochs")) & (F.col("cut") < size)
-    out = (
-        plan.withColumn("__copies", copies)
-        .filter("__copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .withColumn("__text", F.when(partial, short).otherwise(F.col("text")))
-    )
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("__text").alias("text"))
-        elif c == "source":
-            cols.append(F.col("__source").alias("source"))
-        elif c == "n_chars":
-            n = F.when(partial, F.char_length("__text")).otherwise(F.col("n_chars"))
-            cols.append(n.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(c))
-    return out.select(*cols)
+    out = plan.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = out.withColumn("partial", partial).withColumn(at["text"], F.when(partial, short).otherwise(text))
+    if "n_chars" in at:
+        n = F.when(F.col("partial"), F.char_length(at["text"])).otherwise(F.col(at["n_chars"]))
+        out = out.withColumn(at["n_chars"], n.cast(docs.schema["n_chars"].dataType))
+    return out.select(*back)
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS hkey
+         md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS hkey
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

@@ -24,7 +24,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("id"), "text").mapInArrow(pack, "id long, packed binary")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = 16 << 20) -> Iterator[tuple[int, list, list[str]]]:
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = 8 << 20) -> Iterator[tuple[int, list, list[str]]]:
     """(block id, doc ids, texts) of batches (doc_id, text): bounded, and the id follows from the documents alone."""
     held: list[pa.RecordBatch] = []
     size = 0

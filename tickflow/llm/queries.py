@@ -104,9 +104,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model, ["doc_id"]).select(
+    return toxicity_rows(toxicity.score_documents(docs, model, ["doc_id"]))
+
+
+def toxicity_rows(scored: DataFrame) -> DataFrame:
+    """A row without an id is never held out."""
+    return scored.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )

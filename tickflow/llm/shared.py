@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 <<
                 end += 1
             yield batch.slice(at, end - at)
             at = end
+
+
+def aside(docs: DataFrame, *named: str) -> tuple[DataFrame, list]:
+    """``docs`` with every column under a name of its position, and ``named`` columns under their own names too.
+
+    The second value gives the first columns back: no name that an operator uses can clash with one of the table.
+    """
+    places = [f"__at{k}" for k in range(len(docs.columns))]
+    moved = docs.toDF(*places)
+    at = {c: p for c, p in zip(docs.columns, places, strict=True)}
+    moved = moved.select(*places, *[F.col(at[c]).alias(c) for c in named])
+    return moved, [F.col(p).alias(c) for c, p in at.items()]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickflow.llm.packing import unpack_bytes
-from tickflow.llm.shared import chunks, written
+from tickflow.llm.shared import aside, chunks, written
 from tickflow.llm.words import Texts, mix
 
 LENGTH = 200
@@ -337,14 +337,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def keep_text(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text``; bytes of a cut character go too, ``n_chars`` follows."""
-    kept = F.col("kept")
-    out = deduplicate(docs)
-    cleaned = F.when(F.col("n_removed") == 0, F.decode(kept, "UTF-8")).otherwise(_valid_text(kept))
-    out = out.withColumn("text", cleaned)
-    if "n_chars" in docs.columns:
-        n = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
-        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    moved, back = aside(docs, "doc_id", "text")
+    at = dict(zip(docs.columns, moved.columns, strict=False))
+    kept, whole = F.col("kept"), F.col("n_removed") == 0
+    out = deduplicate(moved.drop(at["text"]))
+    out = out.withColumn(at["text"], F.when(whole, F.decode(kept, "UTF-8")).otherwise(_valid_text(kept)))
+    if "n_chars" in at:
+        n = F.when(whole, F.col(at["n_chars"])).otherwise(F.char_length(at["text"]))
+        out = out.withColumn(at["n_chars"], n.cast(docs.schema["n_chars"].dataType))
+    return out.select(*back)
 
 
 @F.pandas_udf(T.StringType())

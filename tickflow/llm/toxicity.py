@@ -118,8 +118,8 @@ class Network:
 
     def inputs(self, word: np.ndarray, gram: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = np.diff(np.append(first, len(gram)))
-        sums = np.add.reduceat(self.p["gram"][gram], first, axis=0) if len(gram) else np.zeros((0, self.s.gram_dim))
-        return np.concatenate([self.p["word"][word], sums / counts[:, None]], 1).astype(np.float32), counts
+        sums = np.add.reduceat(self.p["gram"][gram], first, axis=0) if len(gram) else np.zeros((len(word), self.s.gram_dim))
+        return np.concatenate([self.p["word"][word], sums / np.maximum(counts, 1)[:, None]], 1).astype(np.float32), counts
 
     def _read(self, gates: np.ndarray, mask: np.ndarray, key: str, keep: bool):
         """States of one direction; ``gates`` (T, N, 3H) is what the inputs add."""
@@ -310,8 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[N
         part = part.orderBy("order", "doc_id").limit(2 * s.sample)
         picked = texts.join(F.broadcast(part), "doc_id").orderBy("order", "doc_id", "text").limit(s.sample)
         rows += [(r["text"] or "", label) for r in picked.select("text").collect()]
-    n1 = max(1, sum(r[1] for r in rows))
-    n0 = max(1, len(rows) - n1)
+    n1 = sum(r[1] for r in rows)
+    n0 = len(rows) - n1
+    if not n1 or not n0:  # labels of documents that are not there
+        return None, float(np.log(counts[1] / counts[0]))
     net = train([r[0] for r in rows], [r[1] for r in rows], s)
     return net, float(np.log(counts[1] / counts[0]) - np.log(n1 / n0))
 

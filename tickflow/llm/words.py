@@ -9,6 +9,7 @@ one running sum, then scrambled.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,15 +19,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers are held for texts of up to so many bytes, made anew for longer ones, and go with the worker's small memory.
+_HELD = 1 << 19
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the base and of its inverse."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _ladder(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
+@lru_cache(maxsize=2)
+def _held(base: int) -> np.ndarray:
+    return _ladder(np.uint64(base), _HELD)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of ``base``."""
+    return _held(int(base))[:n] if n <= _HELD else _ladder(base, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,13 +62,12 @@ class Texts:
 
     def sums(self) -> np.ndarray:
         """Running sums of the bytes (plus one) times powers of the base; one more than bytes."""
-        powers, _ = _powers(1 << max(12, int(len(self.data) + 1).bit_length()))
         out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=out[1:])
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(self.data)), out=out[1:])
         return out
 
     def hashes(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, inverse = _powers(1 << max(12, int(len(self.data) + 1).bit_length()))
+        inverse = _powers(_INVERSE, len(self.data) + 1)
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
