@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.
+
+Defined results for odd input, in every stage: an empty table gives no rows; a null
+text is kept as null by the first stages, as empty once passages are cut; null and repeated ids
+and repeated rows are rows of their own, until the near-copy stage keeps one row of each
+group; further columns, of any name, are carried; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickflow.llm import bpe, jaccard, mixing, suffixes, toxicity
 from tickflow.llm.queries import token_digests, tokenizer_path
-from tickflow.llm.shared import written
+from tickflow.llm.shared import aside, written
 
 #: Documents of this score or more are rejected, as op10 predicts.
 TOXIC = 0.3
@@ -18,7 +23,8 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model, docs.columns).filter(f"score < {TOXIC}").select(*docs.columns)
+    moved, back = aside(docs, "text")
+    return toxicity.score_documents(moved, model, moved.columns[:-1]).filter(f"score < {TOXIC}").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
