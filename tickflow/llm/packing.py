@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tickflow.llm.shared import chunks
+from tickflow.llm.shared import chunks, written
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -61,6 +62,42 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, "block long, doc_id long, packed binary")
 
 
+def stored_blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_id, packed) of every row, written once: all later readings see the same blocks.
+
+    A block's name is that of its task and its number there, so equal blocks keep apart.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        first = TaskContext.get().partitionId() << 32
+        for k, (_, ids, texts) in enumerate(blocks(batches)):
+            for at in range(0, len(ids), 1000):
+                packed = [squeeze(t.encode()) for t in texts[at : at + 1000]]
+                arrays = [pa.array([first + k] * len(packed), pa.int64()), pa.array(ids[at : at + 1000], pa.int64()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "packed"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return written(rows.mapInArrow(pack, "block long, doc_id long, packed binary"), compression="uncompressed")
+
+
+def unpacked_blocks(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(block, doc ids, texts) of rows (block, doc_id, packed): pieces of one block of about ``max_bytes``."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    name, ids, texts, size = None, [], [], 0
+    for batch in batches:
+        for block, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if texts and (block != name or size >= max_bytes):
+                yield name, ids, texts
+                ids, texts, size = [], [], 0
+            name = block
+            ids.append(doc_id)
+            texts.append(unpack(packed))
+            size += len(texts[-1])
+    if texts:
+        yield name, ids, texts
+
+
 def unpack_texts(column: pa.Array) -> list[str]:
     return [x.decode() for x in unpack_bytes(column)]
 

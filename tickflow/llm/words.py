@@ -54,12 +54,15 @@ class Texts:
     bounds: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None], lower: bool = False) -> Texts:
-        raw = [(t or "").encode() for t in texts]
+    def of(cls, texts: list[str | bytes | None], lower: bool = False) -> Texts:
+        raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
         return cls(_LOWER[data] if lower else data, bounds)
 
+    def lowered(self) -> Texts:
+        return Texts(_LOWER[self.data], self.bounds)
+
     def sums(self) -> np.ndarray:
         """Running sums of the bytes (plus one) times powers of the base; one more than bytes."""
         out = np.zeros(len(self.data) + 1, np.uint64)
