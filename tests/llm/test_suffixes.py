@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import random
 from collections import Counter
@@ -60,3 +61,13 @@ def test_empty_and_text(spark):
     docs = spark.createDataFrame([(1, "é" * 150, 150), (2, "xé" + "é" * 150, 152), (3, None, None)], docs.schema)
     got = {r.doc_id: (r.text, r.n_chars) for r in suffixes.keep_text(docs).collect()}
     assert got == {1: ("", 0), 2: ("x", 1), 3: ("", None)}
+
+
+def test_anchors_depend_on_the_string_alone(monkeypatch):
+    """The same anchors for every length of the batch, with many ties, on both ways of finding them."""
+    draw = np.random.default_rng(4)
+    values = draw.integers(0, 3, 3000).astype(np.uint64) << np.uint64(24)
+    want = [k + int(np.argmin(values[k : k + 137])) for k in range(len(values) - 136)]
+    assert suffixes.leftmost_least(values, 137).tolist() == want
+    monkeypatch.setattr(suffixes, "LOW", np.uint64(255))
+    assert suffixes.leftmost_least(values, 137).tolist() == want

@@ -22,7 +22,8 @@ Defined results for odd input
 * fewer words than a shingle has: the whole sequence is the one shingle;
 * repeated rows are one class, and ``keep_one`` keeps one of them; a null doc_id takes part and never names a
   component unless all of its ids are null;
-* an empty table gives no rows; further columns are ignored.
+* an empty table gives no rows; further columns are ignored (``keep_one`` returns them);
+* a text of any length is one set, held whole by the tasks that compare it.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -320,12 +321,15 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
     links = written(_verified(star, sets, s))
     roots = components(links)
 
-    failed = None
+    failed, keys = None, shared.select("key", "cls")
     while True:
-        labelled = shared.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+        # A key whose classes share a component is done, and takes no part in later rounds.
+        labelled = keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         labelled = written(labelled.select("key", "cls", F.coalesce("root", "cls").alias("label")))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        rows = labelled.join(open_keys.select("key"), "key").join(sets.select("cls", "n", "sketch"), "cls")
+        keys = written(labelled.join(written(open_keys.select("key")), "key"))
+        rows = keys.join(sets.select("cls", "n", "sketch"), "cls")
+        keys = keys.select("key", "cls")
         if failed is None:
             rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
         else:

@@ -1,6 +1,6 @@
 """Exact substring dedup by bucket-pointer refinement of sampled suffixes.
 
-Every string of 200 bytes has one anchor: the least of the identifiers of its
+Every string of 200 bytes has one anchor: the first of the least of the identifiers of its
 64-byte strings.  Identifiers are built by doubling, each from two of half the
 length, so an anchor depends on the string alone and equal strings have equal
 anchors at equal offsets.  Strings with one anchor start in one run of offsets;
@@ -13,15 +13,16 @@ all of them lie in the anchor's hull.
    bucket-pointer refinement: buckets of 8-byte strings are refined by the bucket
    identifiers 8 bytes on, and the refined identifiers are used again 16, 32, 64
    and 72 bytes on, up to 200; suffixes alone in their bucket leave the sort.
-4. Anchors with too many hulls for a block are refined by identifiers of all
-   200-byte starts, counted over the cluster.
+4. Anchors with too many hulls for a block go the same way over the cluster: buckets of
+   8-byte strings are refined by the identifiers of the buckets 8, 16, 32, 64 and 72 bytes on, within
+   each hull, and the buckets of all hulls are counted.
 
-Steps 1, 2 and 4 count with partial sums, so a passage in every document makes no
-large group in one task.
+Steps 1, 2 and 4 count with partial sums.  The joins that follow are of written counts, one row
+a key, with the occurrences: a key that is in every document is split by the adaptive skew join.
 
 Defined results for odd input
 -----------------------------
-* null text: as empty; texts under 200 bytes lose nothing;
+* null text: as empty; texts under 200 bytes lose nothing; a text of any length is read whole by one task;
 * repeated rows, with equal or null ids too: each is elsewhere for the other;
 * an empty table gives no rows; other columns of the input are kept.
 
@@ -51,6 +52,8 @@ CHUNK = 1 << 19
 #: Bytes of hulls in a block, and hulls of an anchor that may share one.
 BLOCK_BYTES = 1 << 21
 BLOCK_HULLS = 2000
+#: Identifiers are compared without these bits, in which positions stand meanwhile: an anchor depends on its string alone.
+LOW = np.uint64((1 << 24) - 1)
 
 
 def row_id(doc_id: int | None, text: bytes) -> int:
@@ -87,6 +90,26 @@ def identifiers(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return ids
 
 
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first of the least of ``width`` values is, from each position on.  The low bits of the values are 0."""
+    n = len(values)
+    steps, span = [], 1
+    while 2 * span <= width:
+        steps.append(span)
+        span *= 2
+    steps += [width - span] if span < width else []
+    if n <= int(LOW):  # positions fit below the values: one minimum does for both
+        least = values | np.arange(n, dtype=np.uint64)
+        for step in steps:
+            least = np.minimum(least[: len(least) - step], least[step:])
+        return (least & LOW).astype(np.int64)
+    at = np.arange(n)
+    for step in steps:
+        later = values[step:] < values[: len(values) - step]
+        values, at = (np.where(later, x[step:], x[: len(x) - step]) for x in (values, at))
+    return at
+
+
 def anchors(t: Texts) -> dict[str, np.ndarray]:
     """Of each run of starts with one anchor: key, hull, text, lo, hi (first and last start, in the text)."""
     n = len(t.data)
@@ -94,15 +117,7 @@ def anchors(t: Texts) -> dict[str, np.ndarray]:
     if n < LENGTH:
         return {"key": none, "hull": none, "text": none, "lo": none, "hi": none}
     ids = identifiers(t.data, GRAM)
-    low = np.uint64((1 << int(n).bit_length()) - 1)
-    least = (ids & ~low) | np.arange(len(ids), dtype=np.uint64)
-    span, width = 1, LENGTH - GRAM + 1
-    while 2 * span <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    anchor = (least & low).astype(np.int64)  # of the string that starts at each position
+    anchor = leftmost_least(ids & ~LOW, LENGTH - GRAM + 1)  # of the string that starts at each position
     sizes = np.diff(t.bounds) - 1
     has = np.flatnonzero(sizes >= LENGTH)
     first, last = t.bounds[:-1][has], t.bounds[1:][has] - 1 - LENGTH
@@ -286,7 +301,8 @@ def _counted_spans(hulls: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, start, end) byte spans, not merged, that cover every repeated 200-byte string."""
     all_anchors = _anchors(docs)
-    met = all_anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Written first: a join of two plain shuffles is one whose hot keys Spark splits.
+    met = written(all_anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     near = written(all_anchors.join(met, "key").select("key", "hull", "rid", "lo", "hi"))
     classes = near.groupBy("key", "hull").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("rep"))
     classes = written(classes)
