@@ -95,6 +95,10 @@ class Vocabulary:
                 out.append(b"".join(i.to_bytes(4, "little") for i in e.ids))
         return out
 
+    def close(self) -> None:
+        """Lets the library's tokenizer go, which later stages of a reused worker do not need."""
+        self._tokenizer = None
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The pieces of ``ids`` end to end."""
         if self._table is None:
@@ -176,6 +180,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 known.update(zip(new, voc.encode(new), strict=True))
                 arrays = [pa.array([block], pa.int64()), pa.array([pack_words(words, [known[w] for w in words])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "packed"])
+        voc.close()
 
     def join_back(docs: pa.Table, words: pa.Table) -> pa.Table:
         """A block's words have numbers; the ids of a text are gathered by the numbers of its words, its pieces by its ids."""

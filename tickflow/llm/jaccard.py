@@ -11,7 +11,7 @@ and makes the key selective; parts without shingles are left out where a set has
 fewer of them than the P - d parts that must agree.
 
 Sets that share a key are candidates.  First each is checked against the least
-class of its key; then, for keys whose sets are not yet in one component, pairs
+class of its key, where the Hamming distance of their sketches allows a link; then, for keys whose sets are not yet in one component, pairs
 across components pass a Hamming filter and are checked, in rounds, until they are
 joined or no unchecked pair is left.  Checks compare whole sets.  Linked sets lie in one component, so the
 links of a class are counted there, between bands of classes; copies are not expanded.
@@ -242,6 +242,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return rows.sortWithinPartitions("pivot", "salt", "rest").mapInArrow(check, "a long, b long")
 
 
+def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The ``pairs`` (cls, pivot) whose sketches allow a link: their Hamming distance is at most the difference that links have."""
+    one = sets.select("cls", "n", "sketch")
+    other = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("against"))
+    rows = pairs.join(one, "cls").join(other, "pivot").select("cls", "pivot", "n", "m", "sketch", "against")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for k in (4, 5))
+            near = np.bitwise_count(a ^ b).sum(1) * (100 + s.percent) <= n * (100 - s.percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["cls", "pivot"])
+
+    return rows.mapInArrow(compare, "cls long, pivot long")
+
+
 def _sets(docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     """(cls, n, sketch, shingles) of the documents that stand for the classes ``reps`` (doc_id, cls)."""
 
@@ -318,7 +334,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
     wanted = star.select("cls").union(star.select(F.col("pivot").alias("cls"))).distinct()
     reps = classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls")
     sets = written(_sets(docs, reps, s))
-    links = written(_verified(star, sets, s))
+    links = written(_verified(written(_near(star, sets, s)), sets, s))
     roots = components(links)
 
     failed, keys = None, shared.select("key", "cls")

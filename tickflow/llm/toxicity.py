@@ -318,17 +318,19 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[N
     return net, float(np.log(counts[1] / counts[0]) - np.log(n1 / n0))
 
 
-def score_documents(docs: DataFrame, model: tuple[Network | None, float], carry: list[str]) -> DataFrame:
-    """``carry`` columns of ``docs`` and ``score`` for every row."""
+def score_documents(docs: DataFrame, model: tuple[Network | None, float], carry: list[str], text: str = "text") -> DataFrame:
+    """``carry`` columns of ``docs`` and ``score`` for every row; ``text`` names the column to score, and may be carried."""
     net, shift = model
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     if net is None:
         return docs.select(*carry, F.lit(float(1 / (1 + np.exp(-shift)))).alias("score"))
+    sent = [*carry, *([] if text in carry else [text])]
+    at = sent.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net, shift)
-        for batch in chunks(batches, "__text", 1 << 21):
-            scores = pa.array(scorer.score(batch.column(0).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*carry, "score"])
+        for batch in chunks(batches, text, 1 << 20):
+            scores = pa.array(scorer.score(batch.column(at).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], scores], [*carry, "score"])
 
-    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(score, fields + ", score double")
+    return docs.select(*sent).mapInArrow(score, fields + ", score double")
