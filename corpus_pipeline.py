@@ -23,8 +23,9 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    moved, back = aside(docs, "text")
-    return toxicity.score_documents(moved, model, moved.columns[:-1]).filter(f"score < {TOXIC}").select(*back)
+    moved, back = aside(docs)
+    text = moved.columns[docs.columns.index("text")]
+    return toxicity.score_documents(moved, model, moved.columns, text).filter(f"score < {TOXIC}").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
