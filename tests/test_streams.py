@@ -90,3 +90,19 @@ def test_windows(spark):
     assert got == want
     table = spark.createDataFrame([("m", k * 300.0, k * 300.0 + 600) for k in range(6)] + [("m", 300.0, 600.0)], "model string, t0 double, t1 double")
     assert sorted((r.t0, r.t1) for r in W.non_overlapping(table, ["model"]).collect()) == [(0, 600), (300, 600), (600, 1200), (1200, 1800)]
+
+
+def test_instruments_are_kept_apart(spark):
+    """The orders of two instruments in one day are those of each alone."""
+    from tickflow.operators import streams as ST
+
+    rows = [(k, 0, 10 * i + k, 1000 * (i // 2), "T", "B" if i % 3 else "A", 100) for k in (0, 1) for i in range(12)]
+    tape = spark.createDataFrame(rows, "instrument long, day long, seq long, ts_ns long, action string, side string, size long")
+    both = {(r.instrument, r.grp, r.ts_ns, r.size, r.n_fills) for r in ST.orders(tape).collect()}
+    alone = set()
+    for k in (0, 1):
+        alone |= {(k, r.grp, r.ts_ns, r.size, r.n_fills) for r in ST.orders(tape.filter(f"instrument = {k}").drop("instrument")).collect()}
+    assert both == alone
+    assert {(r.instrument, r.out_ns) for r in ST.separate_ties(ST.orders(tape)).collect() if r.instrument == 0} == {
+        (0, r.out_ns) for r in ST.separate_ties(ST.orders(tape.filter("instrument = 0").drop("instrument"))).collect()
+    }

@@ -94,26 +94,37 @@ def activity_residuals(table: DataFrame, least: int = 8) -> DataFrame:
 
 
 def activity_control(spark: SparkSession, table: DataFrame) -> DataFrame:
-    stats = activity_residuals(table).groupBy("model", "period").agg(
+    """Differences of periods, raw over all windows, and adjusted for activity over those with events."""
+    residuals = activity_residuals(table)
+    raw = table.groupBy("model", "period").agg(F.avg("est").alias("raw"))
+    stats = residuals.groupBy("model", "period").agg(
         F.count("*").alias("windows"),
-        F.avg("est").alias("raw"),
-        F.avg("residual").alias("adjusted"),
+        F.avg("residual").alias("n_mean"),
+        F.stddev_samp("residual").alias("n_sd"),
         F.min("slope").alias("slope"),
         F.min("corr").alias("corr"),
     )
-    rows = paired(spark, stats)
+    rows = welch(paired(spark, stats.join(raw, ["model", "period"])))
     return rows.select(
         "model",
         "comparison",
         F.col("corr_a").alias("corr_n_lograte"),
         F.col("slope_a").alias("slope"),
         (F.col("raw_a") - F.col("raw_b")).alias("raw_diff"),
-        (F.col("adjusted_a") - F.col("adjusted_b")).alias("activity_adjusted_diff"),
+        F.col("diff").alias("activity_adjusted_diff"),
+        "welch_t",
+        "welch_df",
     )
 
 
-def permutation_p(x: np.ndarray, y: np.ndarray, seed: list[int], draws: int = 20_000, exact_up_to: int = 20_000) -> float:
-    """Two-sided label permutation; all splits where they are few, else seeded draws with (c + 1) / (n + 1)."""
+def activity_tests(spark: SparkSession, table: DataFrame, seed: int = 20210128) -> DataFrame:
+    """The tests of every comparison on the adjusted estimates."""
+    adjusted = activity_residuals(table).withColumn("est", F.col("residual"))
+    return period_tests(spark, adjusted, seed).select("model", "comparison", "diff", "welch_p", "perm_p")
+
+
+def permutation_p(x: np.ndarray, y: np.ndarray, seed: list[int], draws: int = 20_000, exact_up_to: int = 0) -> float:
+    """Two-sided label permutation by seeded draws, (c + 1) / (n + 1); all splits where there are at most ``exact_up_to``."""
     pooled = np.concatenate([x, y])
     n, k, total = len(pooled), len(x), pooled.sum()
     observed = abs(x.mean() - y.mean()) - 1e-12

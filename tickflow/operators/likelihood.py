@@ -1,24 +1,48 @@
-"""Likelihood terms at fixed parameters with window functions, per session day and without history.
+"""Likelihood terms at fixed parameters with window functions, per session.
 
-The decay sum is ``exp(-b t_i) sum_{j < i} exp(b t_j)``, a running sum; the times count
-from the day's start, so ``b`` times the day's length must stay below 600.
+A session is a day, or a day of an instrument where the stream has an ``instrument``.
+The decay sum is ``exp(-b t_i) sum_{j < i} exp(b t_j)``.  Times are counted from the start of
+blocks of ``REACH / b``, so any decay can run: inside a block it is a running sum of positive
+terms, and of the block before it is one number, faded.  What lies a whole block further back
+weighs less than ``exp(-REACH)``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def decay_sum(stream: DataFrame, beta: float, length: float = 86_400.0) -> DataFrame:
-    """``s``, the sum of decayed weights of earlier events, and ``i``, how many they are."""
-    if beta * length > 600:
-        raise ValueError("the decay is too fast for one running sum; use the grouped fit")
-    order = Window.partitionBy("day").orderBy("t", "seq")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = stream.withColumn("i", F.row_number().over(order) - 1)
-    total = F.coalesce(F.sum(F.exp(beta * F.col("t"))).over(before), F.lit(0.0))
-    return rows.withColumn("s", F.exp(-beta * F.col("t")) * total)
+from tickflow.operators.streams import session_keys
+
+REACH = 300.0
+
+
+def decay_sum(stream: DataFrame, beta: float, history: DataFrame | None = None) -> DataFrame:
+    """``s``: the decayed weights of earlier events, those of ``history`` too; ``i``: how many are in the stream; ``carried``: the history's weight at 0.
+
+    ``history``: the columns of the session, seq and t, with times below 0.
+    """
+    keys = session_keys(stream)
+    rows = stream.withColumn("past", F.lit(False))
+    if history is not None:
+        rows = rows.unionByName(history.select(*keys, "seq", "t").withColumn("past", F.lit(True)), allowMissingColumns=True)
+    width = REACH / beta
+    rows = rows.withColumn("block", F.floor(F.col("t") / width)).withColumn("into", F.col("t") - F.col("block") * width)
+    inside = Window.partitionBy(*keys, "block").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(F.exp(beta * F.col("into"))).over(inside), F.lit(0.0))
+    ends = rows.groupBy(*keys, (F.col("block") + 1).alias("block")).agg(F.sum(F.exp(beta * (F.col("into") - width))).alias("left"))
+    order, whole = Window.partitionBy(*keys).orderBy("t", "seq"), Window.partitionBy(*keys)
+    rows = rows.withColumn("own", own).join(ends, [*keys, "block"], "left")
+    rows = rows.withColumns(
+        {
+            "s": F.exp(-beta * F.col("into")) * (F.col("own") + F.coalesce("left", F.lit(0.0))),
+            "i": F.row_number().over(order) - 1 - F.count_if("past").over(whole),
+            "carried": F.coalesce(F.sum(F.when(F.col("past"), F.exp(beta * F.col("t")))).over(whole), F.lit(0.0)),
+        }
+    )
+    return rows.filter("NOT past").select(*stream.columns, "i", "s", "carried")
 
 
 def intensity(rows: DataFrame, mu: float, alpha: float, beta: float) -> DataFrame:
@@ -26,15 +50,16 @@ def intensity(rows: DataFrame, mu: float, alpha: float, beta: float) -> DataFram
 
 
 def compensator(rows: DataFrame, mu: float, alpha: float) -> DataFrame:
-    """The compensator up to each event: the baseline's part and what earlier events have spent."""
-    return rows.withColumn("lambda_total", mu * F.col("t") + alpha * (F.col("i") - F.col("s")))
+    """The compensator up to each event: the baseline's part and what earlier events have spent since 0."""
+    return rows.withColumn("lambda_total", mu * F.col("t") + alpha * (F.col("i") + F.col("carried") - F.col("s")))
 
 
-def window_loglik(stream: DataFrame, mu: float, alpha: float, beta: float, length: float = 86_400.0) -> DataFrame:
-    rows = intensity(decay_sum(stream, beta, length), mu, alpha, beta)
-    spent = F.sum(1 - F.exp(-beta * (length - F.col("t"))))
+def window_loglik(stream: DataFrame, mu: float, alpha: float, beta: float, length: float = 86_400.0, history: DataFrame | None = None) -> DataFrame:
+    rows = intensity(decay_sum(stream, beta, history), mu, alpha, beta)
+    fade = F.lit(1 - math.exp(-beta * length))
+    spent = F.sum(1 - F.exp(-beta * (length - F.col("t")))) + F.max("carried") * fade
     value = F.sum(F.log("rate")) - mu * length - alpha * spent
-    return rows.groupBy("day").agg(F.count("*").alias("n_events"), value.alias("loglik"), spent.alias("integral"))
+    return rows.groupBy(*session_keys(stream)).agg(F.count("*").alias("n_events"), value.alias("loglik"), spent.alias("integral"))
 
 
 def poisson_loglik(counts: DataFrame, length: float) -> DataFrame:
@@ -45,7 +70,7 @@ def poisson_loglik(counts: DataFrame, length: float) -> DataFrame:
 
 def rescaled_intervals(stream: DataFrame, mu: float, alpha: float, beta: float) -> DataFrame:
     rows = compensator(decay_sum(stream, beta), mu, alpha)
-    order = Window.partitionBy("day").orderBy("t", "seq")
+    order = Window.partitionBy(*session_keys(stream)).orderBy("t", "seq")
     return rows.withColumn("tau", F.col("lambda_total") - F.coalesce(F.lag("lambda_total").over(order), F.lit(0.0)))
 
 

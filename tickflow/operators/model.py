@@ -1,8 +1,9 @@
 """Model fits as grouped pandas functions: a window's events and history in, a row out.
 
-Every window of every fitter is a group of its own, so fits spread over the
-cluster; windows without events have a row with null time and still give a fit.
-Replicates of a bootstrap are groups too, and seeds come from logical keys.
+A window goes once to a group that runs all its fitters; windows without events have a row
+with null time and still give a fit.  Replicates of a bootstrap are groups too, and seeds come
+from logical keys.  Groups have few rows and much work, so they are dealt to a stated number of
+partitions (``spread``), which adaptive execution does not fold into one task.
 """
 
 from __future__ import annotations
@@ -81,9 +82,19 @@ def score(name: str, fit: H.Fit, times, history, nxt, t0: float, t1: float, end:
     return out
 
 
-def windowed(stream: DataFrame, n: int, length: float, stride: float, session: float) -> DataFrame:
-    """Stream rows (day, t) by window and role, with a null row for each window of each day and the day's last time."""
-    rows = W.assign(stream.select("day", "t"), n, length, stride, before=session, after=length).select("day", "k", "t", "role")
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to a stated number of partitions, at least four for each core."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
+def windowed(stream: DataFrame, n: int, length: float, stride: float, before: float) -> DataFrame:
+    """Stream rows (day, t) by window and role, with a null row for each window of each day and the day's last time.
+
+    ``before`` is how far back history reaches.
+    """
+    rows = W.assign(stream.select("day", "t"), n, length, stride, before=before, after=length).select("day", "k", "t", "role")
     days = stream.groupBy("day").agg(F.max("t").alias("last"))
     every = days.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
     empty = every.select("day", "k", F.lit(None).cast("double").alias("t"), F.lit("fit").alias("role"))
@@ -94,19 +105,22 @@ def run_rolling(
     stream: DataFrame, names: list[str], n: int, length: float, stride: float, session: float = 86_400.0, margin: float = 900.0, unit: float = 1.0
 ) -> DataFrame:
     """One scored fit per day, window and fitter."""
-    rows = windowed(stream, n, length, stride, session).withColumn("fitter", F.explode(F.array(*map(F.lit, names))))
+    slowest = max(60.0 if name.startswith("exp") else 10.0 for name in names) * unit
+    rows = windowed(stream, n, length, stride, min(session, H.REACH * slowest))
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        day, k, name = key
+        day, k = key
         t0, t1 = float(k * stride), float(k * stride + length)
-        by = {r: np.unique(g["t"].dropna().to_numpy()) for r, g in part.groupby("role")}
+        by = {r: np.sort(g["t"].dropna().to_numpy()) for r, g in part.groupby("role")}
         times, history, nxt = (by.get(r, np.zeros(0)) for r in ("fit", "history", "next"))
-        fitted = fitters(unit)[name](times, history, t0, t1)
-        row = {"day": day, "k": k, "fitter": name, "t0": t0, "t1": t1, "t_mid": (t0 + t1) / 2}
-        row["edge_window"] = t0 < margin or t1 > session - margin
-        return pd.DataFrame([row | score(name, fitted, times, history, nxt, t0, t1, session, part["last"].iloc[0])])
+        row = {"day": day, "k": k, "t0": t0, "t1": t1, "t_mid": (t0 + t1) / 2, "edge_window": t0 < margin or t1 > session - margin}
+        out = []
+        for name in names:
+            fitted = fitters(unit)[name](times, history, t0, t1)
+            out.append(row | {"fitter": name} | score(name, fitted, times, history, nxt, t0, t1, session, part["last"].iloc[0]))
+        return pd.DataFrame(out)
 
-    return rows.groupBy("day", "k", "fitter").applyInPandas(fit, FIT_ROW)
+    return spread(rows, "day", "k").groupBy("day", "k").applyInPandas(fit, FIT_ROW)
 
 
 def bootstrap(fits: DataFrame, replicates: int, burn_in: float, unit: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -134,7 +148,8 @@ def bootstrap(fits: DataFrame, replicates: int, burn_in: float, unit: float = 1.
             value = again.n if again.converged else None
         return pd.DataFrame([{"day": day, "k": k, "fitter": name, "replicate": replicate, "n": value}])
 
-    out = rows.groupBy("day", "k", "fitter", "replicate").applyInPandas(refit, "day long, k long, fitter string, replicate int, n double")
+    keys = ["day", "k", "fitter", "replicate"]
+    out = spread(rows, *keys).groupBy(*keys).applyInPandas(refit, "day long, k long, fitter string, replicate int, n double")
     return T.bootstrap_summary(out, ["day", "k", "fitter"], "n", keep_empty=True)
 
 
@@ -176,7 +191,8 @@ def recovery_cells(cells: DataFrame) -> DataFrame:
             )
         return pd.DataFrame(rows)
 
-    return cells.groupBy("kernel", "n", "events", "seed").applyInPandas(cell, RECOVERY_ROW)
+    keys = ["kernel", "n", "events", "seed"]
+    return spread(cells, *keys).groupBy(*keys).applyInPandas(cell, RECOVERY_ROW)
 
 
 STRESS_ROW = (
@@ -206,7 +222,7 @@ def stress_cells(cells: DataFrame) -> DataFrame:
             )
         return pd.DataFrame(rows)
 
-    return cells.groupBy("scenario", "seed").applyInPandas(cell, STRESS_ROW)
+    return spread(cells, "scenario", "seed").groupBy("scenario", "seed").applyInPandas(cell, STRESS_ROW)
 
 
 def simulate_cells(cells: DataFrame, draw: Callable[[tuple, np.random.Generator], np.ndarray], keys: list[str]) -> DataFrame:
@@ -217,7 +233,7 @@ def simulate_cells(cells: DataFrame, draw: Callable[[tuple, np.random.Generator]
         t = draw(key, np.random.default_rng([SEED, *"|".join(map(str, key)).encode()]))
         return pd.DataFrame({**{k: [v] * len(t) for k, v in zip(keys, key, strict=True)}, "t": t})
 
-    return cells.groupBy(*keys).applyInPandas(run, schema)
+    return spread(cells, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 NEURAL_ROW = (
@@ -233,12 +249,12 @@ def run_neural(
     steps: int = 400, polish: int = 100, replicates: int = 0, within: float = 10.0, per_decade: int = 200, seed: int = SEED,
 ) -> DataFrame:
     """A learned kernel per day, window and baseline; replicates shrink with the square of the window's events."""
-    rows = windowed(stream, n, length, stride, session).withColumn("fitter", F.explode(F.array(*map(F.lit, bases))))
+    rows = windowed(stream, n, length, stride, min(session, s_max)).withColumn("fitter", F.explode(F.array(*map(F.lit, bases))))
 
     def job(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         day, k, base = key
         t0, t1 = float(k * stride), float(k * stride + length)
-        by = {r: np.unique(g["t"].dropna().to_numpy()) for r, g in part.groupby("role")}
+        by = {r: np.sort(g["t"].dropna().to_numpy()) for r, g in part.groupby("role")}
         times, history, nxt = (by.get(r, np.zeros(0)) for r in ("fit", "history", "next"))
         grid = N.Grid(s_min, s_max, per_decade)
         fit = N.fit_neural(times, history, t0, t1, base, grid, steps, seed=0, polish_steps=polish)
@@ -271,7 +287,7 @@ def run_neural(
             row |= {"boot_n": len(values), "boot_mean": float(np.mean(values)), "boot_sd": float(np.std(values, ddof=1)) if len(values) > 1 else None}
         return pd.DataFrame([row])
 
-    return rows.groupBy("day", "k", "fitter").applyInPandas(job, NEURAL_ROW)
+    return spread(rows, "day", "k", "fitter").groupBy("day", "k", "fitter").applyInPandas(job, NEURAL_ROW)
 
 
 def neural_recovery(cells: DataFrame, steps: int = 400, polish: int = 100, events: float = 2000, per_decade: int = 200) -> DataFrame:
@@ -294,7 +310,7 @@ def neural_recovery(cells: DataFrame, steps: int = 400, polish: int = 100, event
             rows.append((scenario, seed, name, len(times), fit.n, fit.converged, fit.loglik, n, near))
         return pd.DataFrame(rows, columns=[c.strip().split()[0] for c in schema.split(",")])
 
-    return cells.groupBy("scenario", "seed").applyInPandas(cell, schema)
+    return spread(cells, "scenario", "seed").groupBy("scenario", "seed").applyInPandas(cell, schema)
 
 
 def seeds(spark: SparkSession, names: list[str], column: str, count: int) -> DataFrame:

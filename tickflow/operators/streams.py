@@ -1,6 +1,7 @@
 """Marked event streams from a tape: orders from fills, mid-price changes, ties and grids.
 
-All ordered operators partition by session day, so no window spans the table.
+All ordered operators partition by session: the day, or the day of an instrument where the
+tape has an ``instrument``; no window spans the table, and instruments are never merged.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 from tickflow.functions import columns as C
 
 
-def _order():  # noqa: ANN202
-    return Window.partitionBy("day").orderBy("ts_ns", "seq")
+def session_keys(rows: DataFrame) -> list[str]:
+    return [c for c in ("instrument", "day") if c in rows.columns]
+
+
+def _order(rows: DataFrame):  # noqa: ANN202
+    return Window.partitionBy(*session_keys(rows)).orderBy("ts_ns", "seq")
 
 
 def executions(tape: DataFrame, sided_only: bool = False) -> DataFrame:
@@ -27,19 +32,20 @@ def sweep_groups(tape: DataFrame, merge_ns: int = 0, sided_only: bool = False) -
     without a side join either and take the side of the first sided fill.
     """
     rows = executions(tape, sided_only)
-    gap = F.col("ts_ns") - F.lag("ts_ns").over(_order())
-    rows = rows.withColumn("chain", F.sum(F.when(gap <= merge_ns, 0).otherwise(1)).over(_order()))
-    inside = Window.partitionBy("day", "chain").orderBy("ts_ns", "seq")
+    order = _order(rows)
+    gap = F.col("ts_ns") - F.lag("ts_ns").over(order)
+    rows = rows.withColumn("chain", F.sum(F.when(gap <= merge_ns, 0).otherwise(1)).over(order))
+    inside = Window.partitionBy(*session_keys(rows), "chain").orderBy("ts_ns", "seq")
     held = F.last(F.when(F.col("sgn") != 0, F.col("sgn")), ignorenulls=True)
     rows = rows.withColumn("held", held.over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("rn", F.row_number().over(inside))
     breaks = (F.col("rn") == 1) | ((F.col("sgn") != 0) & (F.col("held") != F.col("sgn")))
-    return rows.withColumn("grp", F.sum(F.when(breaks, 1).otherwise(0)).over(_order())).drop("chain", "held", "rn")
+    return rows.withColumn("grp", F.sum(F.when(breaks, 1).otherwise(0)).over(order)).drop("chain", "held", "rn")
 
 
 def orders(tape: DataFrame, merge_ns: int = 0, sided_only: bool = False) -> DataFrame:
     """One row per order: day, grp, ts_ns and seq of its first fill, side, size, n_fills."""
-    grouped = sweep_groups(tape, merge_ns, sided_only).groupBy("day", "grp")
+    grouped = sweep_groups(tape, merge_ns, sided_only).groupBy(*session_keys(tape), "grp")
     return grouped.agg(
         F.min("ts_ns").alias("ts_ns"),
         F.min_by("seq", F.struct("ts_ns", "seq")).alias("seq"),
@@ -51,9 +57,9 @@ def orders(tape: DataFrame, merge_ns: int = 0, sided_only: bool = False) -> Data
 
 def separate_ties(stream: DataFrame) -> DataFrame:
     """``out_ns``: the least strictly increasing times, a nanosecond apart, that are not earlier."""
-    rn = F.row_number().over(_order()).cast("long")
+    rn = F.row_number().over(_order(stream)).cast("long")
     rows = stream.withColumn("rn", rn).withColumn("base", F.col("ts_ns") - F.col("rn"))
-    peak = F.max("base").over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("base").over(_order(stream).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("out_ns", F.col("rn") + peak).drop("rn", "base")
 
 
@@ -65,14 +71,14 @@ def trade_stream(tape: DataFrame, merge_ns: int = 0, sided_only: bool = False) -
 
 def last_of_ts(tape: DataFrame) -> DataFrame:
     """The last record of each timestamp."""
-    after = F.lead("ts_ns").over(_order())
+    after = F.lead("ts_ns").over(_order(tape))
     return tape.withColumn("after", after).filter("after IS NULL OR after > ts_ns").drop("after")
 
 
 def mid_changes(tape: DataFrame) -> DataFrame:
     """Records that end a timestamp with a valid quote whose mid differs from the one before; the first is none."""
     kept = last_of_ts(tape).filter(C.valid_quote(F.col("bid"), F.col("ask"))).withColumn("twice_mid", F.col("bid") + F.col("ask"))
-    change = F.col("twice_mid") - F.lag("twice_mid").over(_order())
+    change = F.col("twice_mid") - F.lag("twice_mid").over(_order(kept))
     return kept.withColumn("change", change).filter("change <> 0").withColumn("direction", F.signum("change").cast("long"))
 
 
@@ -83,12 +89,13 @@ def derived_stream(stream: DataFrame, variant: str, ts_ns) -> DataFrame:  # noqa
 
 def not_increasing(stream: DataFrame, time: str = "ts_ns") -> DataFrame:
     """How many times of each day are not after the one before."""
-    back = F.col(time) <= F.lag(time).over(Window.partitionBy("day").orderBy("seq"))
-    return stream.withColumn("bad", back.cast("int")).groupBy("day").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("violations"))
+    keys = session_keys(stream)
+    back = F.col(time) <= F.lag(time).over(Window.partitionBy(*keys).orderBy("seq"))
+    return stream.withColumn("bad", back.cast("int")).groupBy(*keys).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("violations"))
 
 
 def require_increasing(stream: DataFrame, time: str = "ts_ns") -> DataFrame:
     """The stream; reading it fails where a time is not after the one before."""
-    back = F.col(time) <= F.lag(time).over(Window.partitionBy("day").orderBy("seq"))
+    back = F.col(time) <= F.lag(time).over(Window.partitionBy(*session_keys(stream)).orderBy("seq"))
     checked = stream.withColumn("ok", F.assert_true(~F.coalesce(back, F.lit(False)), F.lit("times do not increase")))
     return checked.filter("ok IS NULL").drop("ok")

@@ -53,6 +53,37 @@ def exp_decay_sum(spark, sf):
     return _r(L.decay_sum(_events(spark, sf), BETA).select("seq", F.col("i").cast("long").alias("i"), "s"))
 
 
+#: Decays a second of the fits' own grid: a day of the sparse events is told in thousandths, 86.4 s.
+FAST = (0.1, 2.0, 1000.0)
+
+
+@query(
+    "exp_decay_sum_fast",
+    sql("tape", body=", b AS (SELECT unnest([0.1e0, 2e0, 1000e0]) AS beta), d AS (SELECT seq, day, t / 1000e0 AS t FROM tape) SELECT i.seq, beta, round(coalesce(sum(exp(-beta * (i.t - j.t))), 0e0), 6) AS s FROM b, d i LEFT JOIN d j ON j.day = i.day AND j.t < i.t GROUP BY i.seq, beta"),
+)
+def exp_decay_sum_fast(spark, sf):
+    events = _events(spark, sf).withColumn("t", F.col("t") / 1000)
+    out = None
+    for beta in FAST:
+        rows = L.decay_sum(events, beta).select("seq", F.lit(beta).alias("beta"), "s")
+        out = rows if out is None else out.unionByName(rows)
+    return _r(out)
+
+
+@query(
+    "loglik_history",
+    sql("tape", body=f", h AS (SELECT day, t - 86400 AS t FROM tape WHERE t >= 43200), own AS (SELECT seq, day, t FROM tape WHERE t < 43200), "
+    f"s AS (SELECT i.seq, i.day, i.t, (SELECT coalesce(sum(exp(-{BETA}::DOUBLE * (i.t - j.t))), 0e0) FROM (SELECT day, t FROM own UNION ALL SELECT day + 1, t FROM h) j WHERE j.day = i.day AND j.t < i.t) AS s FROM own i) "
+    f"SELECT s.day, count(*) AS n_events, round(sum(ln({MU}::DOUBLE + {ALPHA * BETA}::DOUBLE * s)) - {MU}::DOUBLE * 43200 - {ALPHA}::DOUBLE * (sum(1 - exp(-{BETA}::DOUBLE * (43200 - t))) "
+    f"+ coalesce(min((SELECT sum(exp({BETA}::DOUBLE * h.t)) FROM h WHERE h.day + 1 = s.day)), 0e0) * (1 - exp(-{BETA}::DOUBLE * 43200))), 5) AS loglik FROM s GROUP BY s.day"),
+)
+def loglik_history(spark, sf):
+    """The first half of each day, with the second half of the day before as history."""
+    events = _events(spark, sf)
+    history = events.filter("t >= 43200").select((F.col("day") + 1).alias("day"), "seq", (F.col("t") - 86_400).alias("t"))
+    return _r(L.window_loglik(events.filter("t < 43200"), MU, ALPHA, BETA, 43_200.0, history).select("day", "n_events", "loglik"), 5)
+
+
 @query("excitation", _sql(f"SELECT day, round(sum({BETA}::DOUBLE * s), 6) AS at_events, round(sum(1 - exp(-{BETA}::DOUBLE * (86400 - t))), 6) AS integral, round(max(i - s), 6) AS cumulative FROM sums GROUP BY day"))
 def excitation(spark, sf):
     rows = L.decay_sum(_events(spark, sf), BETA)
@@ -196,7 +227,7 @@ def _rolling(spark, sf: str, names: list[str]) -> DataFrame:
 
 @query("fit_and_score")
 def fit_and_score(spark, sf):
-    return _rolling(spark, sf, ["mix_const"]).orderBy("fitter", "day", "t0")
+    return _rolling(spark, sf, ["mix_const"])
 
 
 @query("fit_fixed_decays")
@@ -211,7 +242,7 @@ def fit_exp(spark, sf):
 
 @query("run_rolling")
 def run_rolling(spark, sf):
-    return _rolling(spark, sf, ["exp_const", "exp_spline", "mix_const", "mix_spline"]).orderBy("fitter", "day", "t0")
+    return _rolling(spark, sf, ["exp_const", "exp_spline", "mix_const", "mix_spline"])
 
 
 _FINE = """fine AS (SELECT event_id AS seq, raw_ns // 86400000000000 AS day, raw_ns AS ts_ns, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS sgn

@@ -347,16 +347,33 @@ def weighted_z(spark, sf):
     "activity_control",
     sql(
         "tape", "metric", "period", "pairs",
-        body=", x AS (SELECT *, ln(n_events / (t1 - t0)) AS lr FROM period), l AS (SELECT model, regr_slope(est, lr) AS slope, regr_intercept(est, lr) AS icept, corr(lr, est) AS c FROM x GROUP BY model HAVING count(*) >= 8), "
-        "s AS (SELECT x.model, period, count(*) AS n, avg(est) AS raw, avg(est - (slope * lr + icept)) AS adj, min(slope) AS slope, min(c) AS c FROM x JOIN l ON l.model = x.model GROUP BY x.model, period) "
-        "SELECT a.model, p.a || ' - ' || p.b AS comparison, round(a.c, 5) AS corr_n_lograte, round(a.slope, 5) AS slope, round(a.raw - b.raw, 6) AS raw_diff, round(a.adj - b.adj, 6) AS activity_adjusted_diff "
-        "FROM pairs p JOIN s a ON a.period = p.a JOIN s b ON b.model = a.model AND b.period = p.b WHERE a.n >= 2 AND b.n >= 2",
+        body=", x AS (SELECT *, ln(n_events / (t1 - t0)) AS lr FROM period WHERE n_events > 0), l AS (SELECT model, regr_slope(est, lr) AS slope, regr_intercept(est, lr) AS icept, corr(lr, est) AS c FROM x GROUP BY model HAVING count(*) >= 8), "
+        "s AS (SELECT x.model, period, count(*) AS n, avg(est - (slope * lr + icept)) AS adj, var_samp(est - (slope * lr + icept)) AS v, min(slope) AS slope, min(c) AS c FROM x JOIN l ON l.model = x.model GROUP BY x.model, period), "
+        "w AS (SELECT model, period, avg(est) AS raw FROM period GROUP BY model, period) "
+        "SELECT a.model, p.a || ' - ' || p.b AS comparison, round(a.c, 5) AS corr_n_lograte, round(a.slope, 5) AS slope, round(wa.raw - wb.raw, 6) AS raw_diff, round(a.adj - b.adj, 6) AS activity_adjusted_diff, round((a.adj - b.adj) / sqrt(a.v / a.n + b.v / b.n), 5) AS welch_t "
+        "FROM pairs p JOIN s a ON a.period = p.a JOIN s b ON b.model = a.model AND b.period = p.b JOIN w wa ON wa.model = a.model AND wa.period = p.a JOIN w wb ON wb.model = a.model AND wb.period = p.b WHERE a.n >= 2 AND b.n >= 2",
     ),
 )
 def activity_control(spark, sf):
     rows = I.activity_control(spark, _period(spark, sf))
     r = lambda c, d: F.round(c, d).alias(c)
-    return rows.select("model", "comparison", r("corr_n_lograte", 5), r("slope", 5), r("raw_diff", 6), r("activity_adjusted_diff", 6))
+    return rows.select("model", "comparison", r("corr_n_lograte", 5), r("slope", 5), r("raw_diff", 6), r("activity_adjusted_diff", 6), r("welch_t", 5))
+
+
+@query("activity_tests")
+def activity_tests(spark, sf):
+    return I.activity_tests(spark, _period(spark, sf))
+
+
+@query("period_figure", sql("tape", "metric", "period", body="SELECT model, period, day, k, round(t0 / 2 + t1 / 2, 3) AS t_mid, round(est, 6) AS est, round(boot_sd, 6) AS boot_sd, round(avg(est) OVER (PARTITION BY model, period), 6) AS period_mean FROM period"))
+def period_figure(spark, sf):
+    """The data of the plot of periods: every window, with its period's mean."""
+    from pyspark.sql import Window
+
+    mean = F.avg("est").over(Window.partitionBy("model", "period"))
+    r = lambda c, d, name: F.round(c, d).alias(name)
+    rows = _period(spark, sf)
+    return rows.select("model", "period", "day", "k", r((F.col("t0") + F.col("t1")) / 2, 3, "t_mid"), r("est", 6, "est"), r("boot_sd", 6, "boot_sd"), r(mean, 6, "period_mean"))
 
 
 @query("sign_table", _stats_sql("SELECT 'base' AS source, model, comparison, round(ma - mb, 6) AS diff, sign(ma - mb)::BIGINT AS sign FROM both_sides"))

@@ -73,10 +73,11 @@ def read_meta(spark: SparkSession, path: str, key: str = "query") -> DataFrame:
 
 
 def read_results(spark: SparkSession, glob: str, schema: T.StructType, kind: str = "csv") -> DataFrame:
-    """Result files of one schema, each row tagged with the stem of its file."""
+    """Result files of one schema, each row tagged with the stem of its file; of a folder that Spark wrote, with the folder's."""
     reader = spark.read.schema(schema).option("header", True) if kind == "csv" else spark.read.schema(schema)
     rows = reader.format(kind).load(glob)
-    return rows.withColumn("source", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)(?:/part-[^/]*)?$", 1)
+    return rows.withColumn("source", F.regexp_replace(F.url_decode(name), r"\.[^.]+$", ""))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
