@@ -276,7 +276,7 @@ def _sets(docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
 
 
 def _across(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (cls, pivot) that may join the labels of each key: their sketches are near enough.
+    """Pairs (key, cls, pivot) that may join the labels of each key: their sketches are near enough.
 
     Labels that a pair would join count as one from then on, so a key gives fewer pairs
     than it has labels.  ``failed`` lists partners of a class that are known not to be linked.
@@ -300,9 +300,10 @@ def _across(rows: DataFrame, s: Settings) -> DataFrame:
                         found.append((int(cls[j]), int(cls[k])))
                         root[root == root[j]] = root[k]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["cls", "pivot"])
+                columns = [[key.column(0)[0].as_py()] * len(found), *zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "cls", "pivot"])
 
-    return rows.mapInArrow(pairs, "cls long, pivot long")
+    return rows.mapInArrow(pairs, "key long, cls long, pivot long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -339,7 +340,8 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
 
     failed, keys = None, shared.select("key", "cls")
     while True:
-        # A key whose classes share a component is done, and takes no part in later rounds.
+        # A key whose classes share a component is done, and so is one that gave no pair in the last round:
+        # later components only join, and pairs that failed stay failed.
         labelled = keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
         labelled = written(labelled.select("key", "cls", F.coalesce("root", "cls").alias("label")))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
@@ -352,9 +354,11 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
             partners = failed.groupBy("cls").agg(F.collect_set("pivot").alias("failed"))
             rows = rows.join(partners, "cls", "left")
         rows = rows.select("key", "label", "cls", "n", "sketch", "failed").repartition("key").sortWithinPartitions("key", "cls")
-        across = written(_across(rows, s).distinct())
-        if not across.limit(1).count():
+        given = written(_across(rows, s))
+        across = given.select("cls", "pivot").distinct()
+        if not given.limit(1).count():
             break
+        keys = keys.join(given.select("key").distinct(), "key", "left_semi")
         found = written(_verified(across, sets, s))
         missed = across.join(found.select(F.col("a").alias("cls"), F.col("b").alias("pivot")), ["cls", "pivot"], "left_anti")
         both = missed.union(missed.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot")))
