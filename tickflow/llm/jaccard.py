@@ -275,11 +275,12 @@ def _sets(docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     return texts.mapInArrow(build, "cls long, n long, sketch binary, shingles binary")
 
 
-def _across(rows: DataFrame, s: Settings) -> DataFrame:
+def _across(rows: DataFrame, s: Settings, pace: int) -> DataFrame:
     """Pairs (key, cls, pivot) that may join the labels of each key: their sketches are near enough.
 
-    Labels that a pair would join count as one from then on, so a key gives fewer pairs
-    than it has labels.  ``failed`` lists partners of a class that are known not to be linked.
+    At pace 1 labels that a pair would join count as one from then on, so a key gives fewer pairs
+    than it has labels.  At a greater pace a class gives up to so many of its pairs at once, and the
+    rest in later rounds.  ``failed`` lists partners of a class that are known not to be linked.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +295,15 @@ def _across(rows: DataFrame, s: Settings) -> DataFrame:
                     continue
                 far = np.bitwise_count(bits[differ] ^ bits[k]).sum(1)
                 near = differ[far * (100 + s.percent) <= (n[differ] + n[k]) * (100 - s.percent)]
-                not_linked = set(failed[k] or ())
+                not_linked, given = set(failed[k] or ()), 0
                 for j in near.tolist():
                     if root[j] != root[k] and int(cls[j]) not in not_linked:
                         found.append((int(cls[j]), int(cls[k])))
-                        root[root == root[j]] = root[k]
+                        given += 1
+                        if pace == 1:
+                            root[root == root[j]] = root[k]
+                        elif given == pace:
+                            break
             if found:
                 columns = [[key.column(0)[0].as_py()] * len(found), *zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "cls", "pivot"])
@@ -338,7 +343,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
     links = written(_verified(written(_near(star, sets, s)), sets, s))
     roots = components(links)
 
-    failed, keys = None, shared.select("key", "cls")
+    failed, keys, pace = None, shared.select("key", "cls"), 1
     while True:
         # A key whose classes share a component is done, and so is one that gave no pair in the last round:
         # later components only join, and pairs that failed stay failed.
@@ -354,7 +359,8 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
             partners = failed.groupBy("cls").agg(F.collect_set("pivot").alias("failed"))
             rows = rows.join(partners, "cls", "left")
         rows = rows.select("key", "label", "cls", "n", "sketch", "failed").repartition("key").sortWithinPartitions("key", "cls")
-        given = written(_across(rows, s))
+        given = written(_across(rows, s, pace))
+        pace *= 4
         across = given.select("cls", "pivot").distinct()
         if not given.limit(1).count():
             break
