@@ -80,6 +80,16 @@ def test_empty_and_components(spark):
     assert [got[k] for k in (1, 2, 3, 4, 9, 20, 21, 140)] == [1, 1, 1, 1, 1, 20, 20, 100]
 
 
+def test_new_links_tie_old_components(spark):
+    """Links found later join components, classes that had none, and classes with each other."""
+    old = [(1, 2), (2, 5), (7, 8), (20, 21)]
+    new = [(5, 8), (30, 21), (40, 41), (41, 42), (8, 7)]
+    pairs = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = jaccard._merged(components(pairs(old)), pairs(new))
+    want = components(pairs(old + new))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("band", [1024, 3])
 def test_all_links_are_counted(spark, monkeypatch, band):
     """Every class reports all other classes it is linked to, within and between bands; copies are one class."""

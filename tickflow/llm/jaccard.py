@@ -331,6 +331,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` after the links ``found`` (a, b): only the components that they tie together are searched."""
+    ties = found
+    for end in ("a", "b"):
+        at = roots.select(F.col("node").alias(end), "root")
+        ties = ties.join(at, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    tied = written(components(ties.select("a", "b")))
+    moved = roots.join(tied.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    fresh = tied.join(roots.select("node"), "node", "left_anti")
+    return written(moved.select("node", F.coalesce("top", "root").alias("root")).union(fresh.select("node", "root")))
+
+
 def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, digest, n_shingles, cls, root) of every row, the components and the sets; blank texts have no root."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -340,8 +352,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
     wanted = star.select("cls").union(star.select(F.col("pivot").alias("cls"))).distinct()
     reps = classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls")
     sets = written(_sets(docs, reps, s))
-    links = written(_verified(written(_near(star, sets, s)), sets, s))
-    roots = components(links)
+    roots = components(_verified(written(_near(star, sets, s)), sets, s))
 
     failed, keys, pace = None, shared.select("key", "cls"), 1
     while True:
@@ -370,8 +381,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
         both = missed.union(missed.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot")))
         failed = written(both if failed is None else failed.union(both))
         if found.limit(1).count():
-            links = written(links.union(found))
-            roots = components(links)
+            roots = _merged(roots, found)
         elif not missed.limit(1).count():
             break
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
