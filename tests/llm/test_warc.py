@@ -22,7 +22,7 @@ def read(spark, where):
 def test_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(rows(), PAGES)
     where = f"file://{tmp_path}/a"
-    files = warc.write_warc(pages, where, pages_per_shard=50, max_file_bytes=4000)
+    files = warc.write_warc(pages, where, min_shards=3, max_file_bytes=4000)
     assert len(files) > 3 and not [f for f in os.listdir(tmp_path / "a") if f.endswith(".tmp")]
     largest = {}
     for i, _, html, _ in rows():
@@ -42,7 +42,7 @@ def test_round_trip(spark, tmp_path):
 def test_same_bytes_from_any_partitions(spark, tmp_path):
     pages = spark.createDataFrame(rows(), PAGES)
     for name, n in (("a", 1), ("b", 7)):
-        warc.write_warc(pages.repartition(n), f"file://{tmp_path}/{name}", pages_per_shard=50)
+        warc.write_warc(pages.repartition(n), f"file://{tmp_path}/{name}", min_shards=5)
     assert sorted(os.listdir(tmp_path / "a")) == sorted(os.listdir(tmp_path / "b"))
     assert all((tmp_path / "a" / f).read_bytes() == (tmp_path / "b" / f).read_bytes() for f in os.listdir(tmp_path / "a"))
     text = b"".join(gzip.open(tmp_path / "a" / f).read() for f in os.listdir(tmp_path / "a") if f.endswith(".gz"))
@@ -58,3 +58,18 @@ def test_threshold_damage_and_empty(spark, tmp_path):
         list(warc.parse_file(bytes(data), "0" * 64))
     assert warc.write_warc(pages.limit(0), f"file://{tmp_path}/b") == []
     assert warc.read_warc(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_ranges_of_sparse_and_repeated_ids(spark, tmp_path):
+    noise = [hashlib.sha512(str(k).encode()).hexdigest() * 8 for k in range(900)]
+    sparse = [(k * 10**15 + 7, f"s{k}", noise[k], 0) for k in range(300)]
+    one = [(None if k % 2 else 5, f"o{k}", noise[k], 0) for k in range(300, 900)]
+    pages = spark.createDataFrame(sparse + one, PAGES)
+    where, limit = f"file://{tmp_path}/a", 1 << 16
+    files = warc.write_warc(pages, where, shard_bytes=1 << 18, min_shards=1, max_file_bytes=limit)
+    sizes = {f: os.path.getsize(tmp_path / "a" / f) for f in files}
+    assert len(files) <= 2 * -(-sum(sizes.values()) // limit) and len({f.split("-")[1] for f in files}) >= 3
+    got = warc.read_warc(spark, where).collect()
+    assert sorted(r.url for r in got) == sorted(x[1] for x in sparse + one) and {r.record_type for r in got} == {"response"}
+    held = [[r[0] if r[0] is not None else -(1 << 63) for r in warc.parse_file(d, hashlib.sha256(d).hexdigest())] for d in ((tmp_path / "a" / f).read_bytes() for f in sorted(files))]
+    assert [x for part in held for x in part] == sorted(x for part in held for x in part)

@@ -1,7 +1,9 @@
 """A deterministic sharded WARC writer and its reader.
 
-Pages are ranged by id into shards of fixed width and sorted; each shard is
-written as gzip members, one per record, to files that roll by compressed size.
+Pages are sorted by id, then payload digest, in ranges of about equal bytes; each range
+is written as gzip members, one per record, to files that roll by compressed size.
+The bounds of the ranges come from a sample that hashes of the rows choose, so they follow
+from the rows alone, whether ids are dense, sparse or repeated.
 Headers and digests are made anew from the payload.  A file is written under a
 temporary name and renamed; a manifest that names every file with its size and
 digest is written last, in the same way, and the reader opens only what the
@@ -15,9 +17,10 @@ largest id is written as ``response``, the others as ``revisit`` without payload
 Defined results for odd input
 -----------------------------
 * null html: an empty payload; null url: an empty target;
-* a null page_id sorts first, gets shard -1, and is a response only where no
-  page with an id has its payload;
+* a null page_id sorts first and is a response only where no page with an id has its
+  payload; rows of one id, null too, may be dealt to many ranges, by their payloads;
 * rows with equal id and payload are each written, all with the same type;
+* a payload of any length is one record, held whole by the task that writes it;
 * an empty table gives a manifest without files and no rows;
 * further columns are ignored.
 """
@@ -31,11 +34,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickflow.llm.shared import written
+
 FILE_ROW = "name string, records long, bytes long, sha256 string"
 READ_ROW = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -100,17 +107,58 @@ class _Roller:
         return self.name, self.records, self.bytes, self.sha.hexdigest()
 
 
+#: What a record weighs beside its payload.
+HEADER_BYTES = 512
+
+
+def _positions(ids: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """16 bytes a row that sort as (id, head of the digest) does."""
+    out = np.empty((len(ids), 2), ">u8")
+    out[:, 0] = ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out[:, 1] = heads.astype(np.uint64)
+    return out.view("S16").ravel()
+
+
+def _ranges(light: DataFrame, shard_bytes: int, min_shards: int, per_shard: int, most: int) -> np.ndarray:
+    """The positions where ranges of about equal bytes begin, but for the first.
+
+    They are cut from ``per_shard`` rows a range, ``most`` in all, of ``light``, whose rows have
+    no repeats: the sample bears on the balance of the ranges only.
+    """
+    weight = F.col("bytes") + F.col("n") * HEADER_BYTES
+    rows, total = light.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    n = max(min_shards, -(-total // shard_bytes))
+    kept = int((1 << 32) * min(1.0, min(n * per_shard, most) / max(rows, 1)))
+    drawn = light.filter(F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 32)) < kept).select(*_place(), weight).toPandas().to_numpy(np.int64)
+    if n < 2 or not len(drawn):
+        return np.zeros(0, "S16")
+    at = _positions(drawn[:, 0], drawn[:, 1])
+    order = np.argsort(at)
+    at, upto = at[order], np.cumsum(drawn[order, 2].astype(np.float64))
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, n) / n)
+    return np.unique(at[np.minimum(cuts, len(at) - 1)])
+
+
+def _place() -> tuple[Column, Column]:
+    """The two longs that rows are ranged by; the second grows with the digest."""
+    return F.coalesce("page_id", F.lit(-(1 << 63))), F.conv(F.substr("sha1", F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
 def write_warc(
     pages: DataFrame,
     where: str,
     min_dedup_bytes: int = 0,
-    pages_per_shard: int = 1024,
+    shard_bytes: int = 1 << 30,
+    min_shards: int = 64,
     max_file_bytes: int = 64 << 20,
     date: str = "2024-01-01T00:00:00Z",
+    sample_rows: int = 1_000_000,
 ) -> list[str]:
     """Write ``pages`` (page_id, url, html) to the folder ``where``; returns the file names.
 
-    Only the manifest, a line per file, comes to the driver.
+    A range, one task's work, is ``shard_bytes`` of payload, or less where there would be fewer than
+    ``min_shards`` ranges.  Only the manifest, a line per file, and at most about
+    ``sample_rows`` sampled positions come to the driver.
     """
     filesystem, top = fs.FileSystem.from_uri(where)
     filesystem.create_dir(top, recursive=True)
@@ -120,35 +168,43 @@ def write_warc(
         F.coalesce("url", F.lit("")).alias("url"),
         html.alias("html"),
         F.sha1(F.encode(html, "UTF-8")).alias("sha1"),
-        F.octet_length(html).alias("size"),
+        F.octet_length(html).cast("long").alias("size"),
     )
-    # Only ids and digests are shuffled to find the copies; payloads move once, to their shard.
-    shard = F.coalesce(F.floor(F.col("page_id") / pages_per_shard), F.lit(-1)).cast("long").alias("shard")
-    ids = keyed.filter(F.col("size") >= min_dedup_bytes).select("page_id", "sha1")
-    first = ids.groupBy("sha1").agg(F.max("page_id").alias("response"))
-    copies = ids.distinct().join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("response")))
+    # Only ids and digests are shuffled to find the copies; payloads move once, to their range.
+    light = keyed.groupBy("page_id", "sha1").agg(F.min("size").alias("size"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    light = written(light)
+    bounds = pages.sparkSession.sparkContext.broadcast(_ranges(light, shard_bytes, min_shards, 50, sample_rows))
+
+    @F.pandas_udf("long")
+    def range_of(ids: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, _positions(ids.to_numpy(), heads.to_numpy()), side="right"))
+
+    shard = range_of(*_place()).alias("shard")
+    # The table of payloads that more than one page has is written, so that the join can split a payload of very many pages.
+    first = light.filter(F.col("size") >= min_dedup_bytes).groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("pages"))
+    first = written(first.filter("pages > 1").select("sha1", "response"))
+    copies = light.join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("response")))
     none = F.lit(None).cast("string")
     copies = copies.select(shard, "page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "sha1", "response")
     payloads = keyed.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", "sha1", F.lit(None).cast("long").alias("response"))
-    # A shard is a bounded range of ids; every shard is whole in one task.
-    ranged = payloads.union(copies).repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "sha1")
+    # A range is whole in one task; a copy's row comes before those of its page and payload.
+    ranged = payloads.union(copies).repartition("shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done, shard, roll = _Roller(where, max_file_bytes), [], None, 0
-        page, refers = None, {}
+        page, to = None, None
         for batch in batches:
             for at, page_id, kind, url, text, sha1, response in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (at, page_id) != page:
-                    page, refers = (at, page_id), {}
+                if (at, page_id, sha1) != page:
+                    page, to = (at, page_id, sha1), None
                 if kind == 0:
-                    refers[sha1] = response
+                    to = response
                     continue
                 if at != shard or roller.out is None:
                     if roller.out is not None:
                         done.append(roller.close())
                     shard, roll = at, 0 if at != shard else roll + 1
                     roller.open(shard, roll)
-                to = refers.get(sha1)
                 roller.put(gzip_member(record(page_id, url, text.encode(), to, to is not None, date)))
                 if roller.bytes >= max_file_bytes:
                     done.append(roller.close())
