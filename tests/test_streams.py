@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tickflow.operators import audit as A
 from tickflow.operators import streams as S
 from tickflow.operators import windows as W
 from tickflow.sources.tape import TAPE
@@ -106,3 +107,23 @@ def test_instruments_are_kept_apart(spark):
     assert {(r.instrument, r.out_ns) for r in ST.separate_ties(ST.orders(tape)).collect() if r.instrument == 0} == {
         (0, r.out_ns) for r in ST.separate_ties(ST.orders(tape.filter("instrument = 0").drop("instrument"))).collect()
     }
+
+
+def test_audit_report_by_session(spark):
+    day = 1_000_000_000 * 86400
+    at = lambda d, s: d * day + s * 1_000_000_000
+    rows = [
+        (1, "x", 3, at(3, 34200), at(3, 34200), "T", "B", 10, 100, 102, 34200.0),
+        (2, "x", 3, at(3, 34203), at(3, 34200), "T", "A", 5, 100, 104, 34203.0),
+        (3, "x", 3, at(3, 57601), at(3, 57601), "C", "N", 1, 100, 106, 57601.0),
+        (4, "y", 3, at(3, 40000), at(3, 40000), "C", "N", 1, None, None, 40000.0),
+    ]
+    tape = spark.createDataFrame(
+        rows, "seq long, instrument string, day long, raw_ns long, ts_ns long, action string, side string, size long, bid long, ask long, t double"
+    )
+    got = {(r.instrument, r.field): r.value for r in A.report(tape).collect()}
+    assert (got["x", "records"], got["x", "records_in_session"], got["x", "gap_max"], got["x", "gap_max_at"]) == (3, 2, 3, 34203)
+    assert (got["x", "nondecreasing"], got["x", "increasing"], got["x", "latency_max"]) == (1, 0, 3e9)
+    assert (got["x", "both_sides"], got["x", "timestamps_of_2_fills"], got["x", "shares"], got["x", "merge_0_events"]) == (1, 1, 15, 2)
+    assert (got["y", "records"], got["y", "gap_max"]) == (1, None) and ("y", "executions") not in got
+    assert A.report(tape.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tickflow.functions import columns as C
@@ -93,3 +93,86 @@ def audit(tape: DataFrame, start: float = 34200, end: float = 57600) -> DataFram
         S.mid_changes(tape).agg(F.count("*").alias("mid_changes")),
     ]
     return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+
+
+def _fields(grouped: GroupedData, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, field, value) rows of the aggregates ``values``, computed in one pass."""
+    wide = grouped.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+    return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in values])))
+
+
+def report(
+    tape: DataFrame,
+    start: float = 34200,
+    end: float = 57600,
+    merges: dict[str, int] | None = None,
+    named: dict[str, tuple[float, float]] | None = None,
+    long_gap: float = 5.0,
+) -> DataFrame:
+    """The audit of every session as (day, field, value) rows, by instrument where the tape has that column.
+
+    Four aggregates by session: of the records, the executions, the order streams at each of ``merges``
+    nanoseconds, and the mid-price changes.  Gaps between records and executions count between ``start`` and ``end``.
+    """
+    keys = S.session_keys(tape)
+    inside = C.between(F.col("t"), start, end)
+    before = Window.partitionBy(*keys).orderBy("raw_ns", "seq")
+    gap = F.when(inside & F.lag(inside).over(before), F.col("raw_ns") - F.lag("raw_ns").over(before))
+    step = F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy(*keys).orderBy("seq"))
+    late = F.col("raw_ns") - F.col("ts_ns")
+    r6 = lambda c: F.round(c, 6)
+    share = lambda ns: r6(F.avg((F.col("raw_ns") % ns == 0).cast("double")))
+    records = tape.withColumns({"inside": inside, "gap": gap, "step": step, "late": late})
+    parts = [
+        _fields(
+            records.groupBy(*keys),
+            keys,
+            {
+                "records": F.count("*"),
+                "records_in_session": F.count_if("inside"),
+                "first": r6(F.min("t")),
+                "last": r6(F.max("t")),
+                "first_in_session": r6(F.min(F.when(F.col("inside"), F.col("t")))),
+                "last_in_session": r6(F.max(F.when(F.col("inside"), F.col("t")))),
+                "nondecreasing": F.bool_and(F.coalesce(F.col("step") >= 0, F.lit(True))),
+                "increasing": F.bool_and(F.coalesce(F.col("step") > 0, F.lit(True))),
+                "share_on_1us": share(1000),
+                "share_on_1ms": share(1_000_000),
+                "sub_us_digits": F.count_distinct(F.col("raw_ns") % 1000),
+                "latency_median": F.percentile("late", 0.5),
+                "latency_p99": F.round(F.percentile("late", 0.99), 3),
+                "latency_max": F.max("late"),
+                "gap_max": F.max("gap") / 1e9,
+                "gap_max_at": r6(F.max_by("t", F.when(F.col("gap").isNotNull(), F.struct("gap", -F.col("t"))))),
+                "gaps_over_1s": F.count_if(F.col("gap") > 1_000_000_000),
+            },
+        )
+    ]
+    executed = S.executions(tape).filter(inside)
+    ties = executed.groupBy(*keys, "ts_ns").agg(
+        F.count("*").alias("c"),
+        F.sum("size").alias("shares"),
+        F.count_if(F.col("sgn") > 0).alias("buys"),
+        F.count_if(F.col("sgn") < 0).alias("sells"),
+    )
+    fields = {
+        "executions": F.sum("c"),
+        "timestamps": F.count("*"),
+        "fills_max": F.max("c"),
+        "shares": F.sum("shares"),
+        "buys": F.sum("buys"),
+        "sells": F.sum("sells"),
+        "both_sides": F.count_if((F.col("buys") > 0) & (F.col("sells") > 0)),
+    }
+    fields |= {f"timestamps_of_{k}_fills": F.count_if(F.least("c", F.lit(10)) == k) for k in range(1, 11)}
+    parts.append(_fields(ties.groupBy(*keys), keys, fields))
+    for name, merge_ns in (merges or {"merge_0": 0}).items():
+        stream = S.trade_stream(tape, merge_ns)
+        wait = F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("out_ns"))
+        at = lambda p: r6(F.percentile("wait", p))
+        fields = {"events": F.count("*"), "wait_min": r6(F.min("wait")), "wait_p1": at(0.01), "wait_median": at(0.5), "wait_p99": at(0.99)}
+        fields |= {"wait_max": r6(F.max("wait")), "long_gaps": F.count_if(F.col("wait") > long_gap)}
+        fields |= {f"in_{k}": F.count_if(C.between(F.col("t"), *span)) for k, span in (named or {}).items()}
+        parts.append(_fields(stream.withColumn("wait", wait).groupBy(*keys), keys, {f"{name}_{k}": v for k, v in fields.items()}))
+    parts.append(_fields(S.mid_changes(tape).groupBy(*keys), keys, {"mid_changes": F.count("*")}))
+    return reduce(DataFrame.unionByName, parts)

@@ -336,3 +336,76 @@ def monotone_flags(spark, sf):
 )
 def audit(spark, sf):
     return A.audit(_tape(spark, sf))
+
+
+NAMED = {"opening": (34200, 37800), "statement": (50100, 53700), "closing": (54000, 57600)}
+
+
+def _long_sql(rows: str, fields: dict[str, str]) -> str:
+    names, values = ", ".join(f"'{k}'" for k in fields), ", ".join(f"({v})::DOUBLE" for v in fields.values())
+    return f"SELECT day, unnest(f) AS field, unnest(v) AS value FROM (SELECT day, [{names}] AS f, [{values}] AS v FROM ({rows}) GROUP BY day)"
+
+
+def _report_sql() -> str:
+    inside = "t >= 34200 AND t < 57600"
+    records = sql(
+        "tape",
+        body=f"SELECT *, max(gap) OVER (PARTITION BY day) AS widest FROM (SELECT *, {inside} AS inside, raw_ns - ts_ns AS late, ts_ns - lag(ts_ns) OVER (PARTITION BY day ORDER BY seq) AS step, "
+        f"CASE WHEN {inside} AND lag({inside}) OVER (PARTITION BY day ORDER BY raw_ns, seq) THEN raw_ns - lag(raw_ns) OVER (PARTITION BY day ORDER BY raw_ns, seq) END AS gap FROM tape)",
+    )
+    ties = sql(
+        "tape", "exe",
+        body="SELECT day, ts_ns, count(*) AS c, sum(size) AS shares, count(*) FILTER (sgn > 0) AS buys, count(*) FILTER (sgn < 0) AS sells "
+        f"FROM exe WHERE {inside} GROUP BY day, ts_ns",
+    )
+    parts = [
+        _long_sql(
+            records,
+            {
+                "records": "count(*)",
+                "records_in_session": "count(*) FILTER (inside)",
+                "first": "round(min(t), 6)",
+                "last": "round(max(t), 6)",
+                "first_in_session": "round(min(t) FILTER (inside), 6)",
+                "last_in_session": "round(max(t) FILTER (inside), 6)",
+                "nondecreasing": "bool_and(coalesce(step >= 0, true))",
+                "increasing": "bool_and(coalesce(step > 0, true))",
+                "share_on_1us": "round(avg((raw_ns % 1000 = 0)::INT), 6)",
+                "share_on_1ms": "round(avg((raw_ns % 1000000 = 0)::INT), 6)",
+                "sub_us_digits": "count(DISTINCT raw_ns % 1000)",
+                "latency_median": "quantile_cont(late, 0.5)",
+                "latency_p99": "round(quantile_cont(late, 0.99), 3)",
+                "latency_max": "max(late)",
+                "gap_max": "max(gap) / 1e9",
+                "gap_max_at": "round(min(t) FILTER (gap = widest), 6)",
+                "gaps_over_1s": "count(*) FILTER (gap > 1000000000)",
+            },
+        ),
+        _long_sql(
+            ties,
+            {
+                "executions": "sum(c)",
+                "timestamps": "count(*)",
+                "fills_max": "max(c)",
+                "shares": "sum(shares)",
+                "buys": "sum(buys)",
+                "sells": "sum(sells)",
+                "both_sides": "count(*) FILTER (buys > 0 AND sells > 0)",
+            }
+            | {f"timestamps_of_{k}_fills": f"count(*) FILTER (least(c, 10) = {k})" for k in range(1, 11)},
+        ),
+    ]
+    for name, merge in (("merge_0", 0), ("merge_half_hour", HALF_HOUR)):
+        stream = sql("tape", "exe", "grp", "ord", "stream", merge=merge, body="SELECT *, ts - lag(ts) OVER (PARTITION BY day ORDER BY out_ns) AS wait FROM stream")
+        at = lambda p: f"round(quantile_cont(wait, {p}), 6)"
+        fields = {"events": "count(*)", "wait_min": "round(min(wait), 6)", "wait_p1": at(0.01), "wait_median": at(0.5), "wait_p99": at(0.99)}
+        fields |= {"wait_max": "round(max(wait), 6)", "long_gaps": "count(*) FILTER (wait > 3600)"}
+        fields |= {f"in_{k}": f"count(*) FILTER (ts >= {a} AND ts < {b})" for k, (a, b) in NAMED.items()}
+        parts.append(_long_sql(stream, {f"{name}_{k}": v for k, v in fields.items()}))
+    parts.append(_long_sql(sql("tape", "ends", "mids", body="SELECT * FROM mids"), {"mid_changes": "count(*)"}))
+    return " UNION ALL ".join(parts)
+
+
+@query("audit_report", _report_sql())
+def audit_report(spark, sf):
+    return A.report(_tape(spark, sf), merges={"merge_0": 0, "merge_half_hour": HALF_HOUR}, named=NAMED, long_gap=3600)
