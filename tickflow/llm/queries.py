@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, jaccard, lm, media, mixing, quality, shared, suffixes, toxicity, warc
+from tickflow.llm import bpe, chat, jaccard, lm, media, mixing, quality, rank_bpe, shared, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +117,14 @@ def toxicity_rows(scored: DataFrame) -> DataFrame:
     )
 
 
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = rank_bpe.encode_documents(_documents(spark, sf_dir), path, pattern)
+    return token_digests(rank_bpe.decode_documents(encoded, path, pattern))
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op2_quality": op2_quality,
@@ -128,6 +136,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op13_rank_bpe": op13_rank_bpe,
 }
 
 ORACLE = {
