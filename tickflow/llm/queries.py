@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, jaccard, lm, media, mixing, quality, rank_bpe, shared, suffixes, toxicity, warc
+from tickflow.llm import bpe, chat, jaccard, lm, media, mixing, quality, rank_bpe, shared, sort_means, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +119,28 @@ def toxicity_rows(scored: DataFrame) -> DataFrame:
     )
 
 
+def cluster_digests(found: sort_means.Clustering) -> DataFrame:
+    """Rows of a clustering with the values of their clusters; the constants are as many as centroids."""
+    whole = sum(found.inertias) if None not in found.inertias else None
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+
+    def of_cluster(values: list, kind: str):
+        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("cluster") + 1) if values else F.lit(None).cast(kind)
+
+    return found.rows.select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        of_cluster(found.inertias, "long").alias("cluster_inertia"),
+        F.lit(whole if whole is None or whole < 1 << 63 else None).cast("long").alias("inertia"),
+        of_cluster(names, "string").alias("centroid_sha256"),
+    )
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digests(sort_means.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -136,6 +160,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op12_sort_means": op12_sort_means,
     "op13_rank_bpe": op13_rank_bpe,
 }
 
@@ -143,4 +168,5 @@ ORACLE = {
     "op5_mixing": mixing.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op12_sort_means": sort_means.oracle(),
 }
