@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickflow.llm import bpe, chat, jaccard, lm, media, mixing, quality, rank_bpe, shared, sort_means, suffixes, toxicity, warc
+from tickflow.llm import alignment, bpe, chat, jaccard, lm, media, mixing, quality, rank_bpe, shared, sort_means, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +119,12 @@ def toxicity_rows(scored: DataFrame) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.summarize(_documents(spark, sf_dir), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def cluster_digests(found: sort_means.Clustering) -> DataFrame:
     """Rows of a clustering with the values of their clusters; the constants are as many as centroids."""
     whole = sum(found.inertias) if None not in found.inertias else None
@@ -160,6 +166,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_sort_means": op12_sort_means,
     "op13_rank_bpe": op13_rank_bpe,
 }
