@@ -76,8 +76,9 @@ def test_one_row_of_a_group_stays(spark, tables):
 
 def test_clashing_columns(spark, tables):
     """Further columns with names that the operators use come through every stage as they were."""
-    names = ["score", "kept", "size", "n_removed", "spans", "start", "component_id", "cls"]
+    names = ["score", "kept", "size", "n_removed", "spans", "start", "component_id", "cls", "text_digest", "digest", "rid", "marked_id", "repeated"]
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet").filter("doc_id < 40")
+    docs = docs.union(docs.filter("doc_id % 3 = 1"))  # repeated rows
     for k, n in enumerate(names):
         docs = docs.withColumn(n, docs["doc_id"] + k)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -71,3 +71,17 @@ def test_anchors_depend_on_the_string_alone(monkeypatch):
     assert suffixes.leftmost_least(values, 137).tolist() == want
     monkeypatch.setattr(suffixes, "LOW", np.uint64(255))
     assert suffixes.leftmost_least(values, 137).tolist() == want
+
+
+def test_clashing_columns(spark):
+    """Columns named as the result's give way; all others, those named as the operator's own too, come through."""
+    passage = "".join(chr(97 + k * k % 23) for k in range(260))
+    rows = [(1, passage + "x", 7), (2, "y" + passage, 8), (2, "y" + passage, 8), (3, "alone", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int")
+    names = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "rid", "start", "end", "key", "hull"]
+    for n in names:
+        docs = docs.withColumn(n, docs["a"] + 1)
+    out = suffixes.deduplicate(docs)
+    assert out.columns == ["doc_id", "a", "rid", "start", "end", "key", "hull", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), r.rid - r.a) for r in out.collect())
+    assert got == [(1, 261, 260, b"x", 1), (2, 261, 261, b"", 1), (2, 261, 261, b"", 1), (3, 5, 0, b"alone", 1)]

@@ -64,6 +64,9 @@ def test_held_out_accuracy(spark):
     alone = dict(zip((r[0] for r in rows), X.Scorer(*model).score([r[1] for r in rows]), strict=True))
     assert all(abs(alone[i] - got[i]) < 1e-5 for i in alone)
     assert X.score_documents(docs.limit(0), model, ["doc_id"]).count() == 0
+    for some in (model, (None, 0.0)):
+        clash = X.score_documents(docs, some, ["doc_id", "score", "text"])
+        assert clash.columns == ["doc_id", "text", "score"] and clash.filter("score BETWEEN 0 AND 1").count() == len(got)
     none = X.fit(docs, known.filter("toxic = 0"))
     assert none[0] is None and X.score_documents(docs, none, ["doc_id"]).count() == len(rows) + len(odd)
 
@@ -72,5 +75,5 @@ def test_rows_without_id_are_not_held_out(spark):
     from tickflow.llm.queries import toxicity_rows
 
     docs = spark.createDataFrame([(None, "a"), (1, None)], "doc_id long, text string")
-    got = {r.doc_id: r.held_out for r in toxicity_rows(toxicity.score_documents(docs, (None, 0.0), ["doc_id"])).collect()}
+    got = {r.doc_id: r.held_out for r in toxicity_rows(X.score_documents(docs, (None, 0.0), ["doc_id"])).collect()}
     assert got[None] is False and got[1] in (True, False)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.components import components
 from tickflow.llm.packing import packed_texts, unpack_texts
-from tickflow.llm.shared import chunks, written
+from tickflow.llm.shared import aside, chunks, written
 from tickflow.llm.words import Texts, grams, mix
 
 CHUNK = 1 << 21
@@ -461,10 +461,12 @@ def keep_one(docs: DataFrame, s: Settings = Settings(words=5, percent=80, ratio=
     rows = named.filter("root IS NOT NULL").groupBy("root", row.alias("row")).agg(F.count("*").alias("n"))
     first = rows.groupBy("root").agg(F.min("row").alias("first"))
     marked = rows.join(first, "root").filter("n > 1 OR row <> first")
-    marked = written(marked.select("row.*", (F.col("row") == F.col("first")).alias("repeated")))
-    same = docs["doc_id"].cast("long").eqNullSafe(marked["doc_id"]) & (F.xxhash64(docs["text"]) == marked["digest"])
-    kept = docs.join(marked, same, "left_anti")
+    names = [F.col("row.doc_id").alias("marked_id"), F.col("row.digest").alias("marked_digest")]
+    marked = written(marked.select(*names, (F.col("row") == F.col("first")).alias("repeated")))
+    moved, back = aside(docs, "doc_id", "text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("marked_id")) & (F.xxhash64("text") == F.col("marked_digest"))
+    kept = moved.join(marked, same, "left_anti")
     if marked.filter("repeated").limit(1).count():
-        again = docs.join(marked.filter("repeated"), same, "left_semi")
-        kept = kept.union(again.withColumn("text_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "text_digest"]).drop("text_digest"))
-    return kept.select(*docs.columns)
+        again = moved.join(marked.filter("repeated"), same, "left_semi").withColumn("marked_digest", F.xxhash64("text"))
+        kept = kept.union(again.dropDuplicates(["doc_id", "marked_digest"]).drop("marked_digest"))
+    return kept.select(*back)

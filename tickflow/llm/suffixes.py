@@ -317,14 +317,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but the text, with n_bytes, n_removed, n_spans, spans and kept (binary)."""
+    """The columns of ``docs`` but the text, with n_bytes, n_removed, n_spans, spans and kept (binary).
+
+    A further column of ``docs`` with the name of one of these gives way to it.
+    """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeated_spans(docs).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    added = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary"
+    new = T._parse_datatype_string(added)
+    docs = docs.drop(*new.names)
+    spans = repeated_spans(docs).groupBy(F.col("rid").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     packed = _packed(docs)
     others = [c for c in docs.columns if c != "text"]
-    joined = packed.join(spans, F.col("__rid") == F.col("rid"), "left").select("__packed", "__spans", *others)
-    added = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary"
-    schema = T.StructType([*docs.select(*others).schema.fields, *T._parse_datatype_string(added).fields])
+    joined = packed.join(spans, F.col("__rid") == F.col("__of"), "left").select("__packed", "__spans", *others)
+    schema = T.StructType([*docs.select(*others).schema.fields, *new.fields])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

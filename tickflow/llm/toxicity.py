@@ -319,8 +319,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[N
 
 
 def score_documents(docs: DataFrame, model: tuple[Network | None, float], carry: list[str], text: str = "text") -> DataFrame:
-    """``carry`` columns of ``docs`` and ``score`` for every row; ``text`` names the column to score, and may be carried."""
+    """``carry`` columns of ``docs`` and ``score`` for every row; ``text`` names the column to score, and may be carried.
+
+    A column ``score`` of ``docs`` gives way to the operator's.
+    """
     net, shift = model
+    carry = [c for c in carry if c != "score"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     if net is None:
         return docs.select(*carry, F.lit(float(1 / (1 + np.exp(-shift)))).alias("score"))
