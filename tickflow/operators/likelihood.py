@@ -1,19 +1,18 @@
 """Likelihood terms at fixed parameters with window functions, per session.
 
 A session is a day, or a day of an instrument where the stream has an ``instrument``.
-The decay sum is ``exp(-b t_i) sum_{j < i} exp(b t_j)``.  Times are counted from the start of
-blocks of ``REACH / b``, so any decay can run: inside a block it is a running sum of positive
-terms, and of the block before it is one number, faded.  What lies a whole block further back
-weighs less than ``exp(-REACH)``.
+The decay sum is ``exp(-b t_i) sum_{j < i} exp(b t_j)``, taken in blocks of a session and carried
+over their ends (``operators.scan``), so any decay can run and a session uses many tasks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickflow.operators import scan
 from tickflow.operators.streams import session_keys
 
 REACH = 300.0
@@ -28,20 +27,17 @@ def decay_sum(stream: DataFrame, beta: float, history: DataFrame | None = None)
     rows = stream.withColumn("past", F.lit(False))
     if history is not None:
         rows = rows.unionByName(history.select(*keys, "seq", "t").withColumn("past", F.lit(True)), allowMissingColumns=True)
-    width = REACH / beta
-    rows = rows.withColumn("block", F.floor(F.col("t") / width)).withColumn("into", F.col("t") - F.col("block") * width)
-    inside = Window.partitionBy(*keys, "block").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum(F.exp(beta * F.col("into"))).over(inside), F.lit(0.0))
-    ends = rows.groupBy(*keys, (F.col("block") + 1).alias("block")).agg(F.sum(F.exp(beta * (F.col("into") - width))).alias("left"))
-    order, whole = Window.partitionBy(*keys).orderBy("t", "seq"), Window.partitionBy(*keys)
-    rows = rows.withColumn("own", own).join(ends, [*keys, "block"], "left")
-    rows = rows.withColumns(
-        {
-            "s": F.exp(-beta * F.col("into")) * (F.col("own") + F.coalesce("left", F.lit(0.0))),
-            "i": F.row_number().over(order) - 1 - F.count_if("past").over(whole),
-            "carried": F.coalesce(F.sum(F.when(F.col("past"), F.exp(beta * F.col("t")))).over(whole), F.lit(0.0)),
-        }
-    )
+    rows = scan.faded_sums(rows, keys, ("t", "seq"), beta, REACH, "s")
+
+    def counts(blocks: DataFrame, before: WindowSpec) -> DataFrame:
+        """Rows before the block, without the history; and what the whole history weighs at 0."""
+        every = Window.partitionBy(*keys)
+        blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.sum("n_past").over(every))
+        return blocks.withColumn("carried", F.coalesce(F.sum("weight").over(every), F.lit(0.0)))
+
+    reduced = {"n": F.count("*"), "n_past": F.count_if("past"), "weight": F.sum(F.when(F.col("past"), F.exp(beta * F.col("t"))))}
+    rows = scan.carry(rows, keys, reduced, counts, "offset", "carried")
+    rows = rows.withColumn("i", F.col("offset") + F.row_number().over(scan.inside(keys, "t", "seq")) - 1)
     return rows.filter("NOT past").select(*stream.columns, "i", "s", "carried")
 
 
@@ -69,37 +65,47 @@ def poisson_loglik(counts: DataFrame, length: float) -> DataFrame:
 
 
 def rescaled_intervals(stream: DataFrame, mu: float, alpha: float, beta: float) -> DataFrame:
-    rows = compensator(decay_sum(stream, beta), mu, alpha)
-    order = Window.partitionBy(*session_keys(stream)).orderBy("t", "seq")
-    return rows.withColumn("tau", F.col("lambda_total") - F.coalesce(F.lag("lambda_total").over(order), F.lit(0.0)))
+    rows = scan.in_blocks(compensator(decay_sum(stream, beta), mu, alpha), "t", scan.SECONDS)
+    rows = scan.previous(rows, session_keys(stream), ("t", "seq"), "lambda_total", "spent")
+    return rows.withColumn("tau", F.col("lambda_total") - F.coalesce("spent", F.lit(0.0))).drop("block", "spent")
 
 
 def ks_statistic(intervals: DataFrame) -> DataFrame:
-    """Largest distance of the sorted intervals from the unit exponential."""
-    order, whole = Window.partitionBy("day").orderBy("tau", "seq"), Window.partitionBy("day")
-    cdf, n, r = 1 - F.exp(-F.col("tau")), F.count("*").over(whole), F.row_number().over(order)
-    rows = intervals.select("day", F.greatest(r / n - cdf, cdf - (r - 1) / n).alias("d"))
-    return rows.groupBy("day").agg(F.max("d").alias("ks_stat"))
+    """Largest distance of the sorted intervals of each session from the unit exponential."""
+    keys = session_keys(intervals)
+    # Ranks by blocks of the distribution function, a hundredth each: a session's sort is spread over its blocks.
+    rows = scan.in_blocks(intervals.select(*keys, "seq", "tau", (1 - F.exp(-F.col("tau"))).alias("cdf")), "cdf", 0.01)
+
+    def counts(blocks: DataFrame, before: WindowSpec) -> DataFrame:
+        blocks = blocks.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        return blocks.withColumn("n", F.sum("m").over(Window.partitionBy(*keys)))
+
+    rows = scan.carry(rows, keys, {"m": F.count("*")}, counts, "offset", "n")
+    r = F.col("offset") + F.row_number().over(scan.inside(keys, "tau", "seq"))
+    rows = rows.select(*keys, F.greatest(r / F.col("n") - F.col("cdf"), F.col("cdf") - (r - 1) / F.col("n")).alias("d"))
+    return rows.groupBy(*keys).agg(F.max("d").alias("ks_stat"))
 
 
 def autocorrelations(intervals: DataFrame, lags: int = 10) -> DataFrame:
-    """day, n, lag, r."""
-    order, whole = Window.partitionBy("day").orderBy("t", "seq"), Window.partitionBy("day")
+    """The session's columns, n, lag, r."""
+    keys = session_keys(intervals)
+    order, whole = Window.partitionBy(*keys).orderBy("t", "seq"), Window.partitionBy(*keys)
     rows = intervals.withColumn("c", F.col("tau") - F.avg("tau").over(whole))
     products = [F.sum(F.col("c") * F.col(f"c{k}")) / F.sum(F.col("c") * F.col("c")) for k in range(1, lags + 1)]
     rows = rows.withColumns({f"c{k}": F.lag("c", k).over(order) for k in range(1, lags + 1)})
-    wide = rows.groupBy("day").agg(F.count("*").alias("n"), F.array(*products).alias("r"))
-    return wide.select("day", "n", F.posexplode("r").alias("pos", "r")).select("day", "n", (F.col("pos") + 1).cast("long").alias("lag"), "r")
+    wide = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*products).alias("r"))
+    return wide.select(*keys, "n", F.posexplode("r").alias("pos", "r")).select(*keys, "n", (F.col("pos") + 1).cast("long").alias("lag"), "r")
 
 
 def ljung_box(intervals: DataFrame, lags: int = 10) -> DataFrame:
     rows = autocorrelations(intervals, lags).filter(F.col("n") > lags)
     n = F.min("n")
-    return rows.groupBy("day").agg((n * (n + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("lb_stat"))
+    statistic = n * (n + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))
+    return rows.groupBy(*session_keys(intervals)).agg(statistic.alias("lb_stat"))
 
 
 def dispersion(intervals: DataFrame) -> DataFrame:
-    return intervals.groupBy("day").agg((F.sqrt(F.count("*") / 8) * (F.var_samp("tau") - 1)).alias("dispersion_z"))
+    return intervals.groupBy(*session_keys(intervals)).agg((F.sqrt(F.count("*") / 8) * (F.var_samp("tau") - 1)).alias("dispersion_z"))
 
 
 def hat_basis(t: Column, t0: float, t1: float, pieces: int) -> Column:
