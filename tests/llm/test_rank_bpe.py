@@ -11,6 +11,7 @@ P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 
 from tickflow.llm import queries, rank_bpe  # noqa: E402
+from tickflow.llm.pretokens import matched_patterns  # noqa: E402
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -25,20 +26,20 @@ def library(path, pattern=P.PATTERN):
 
 
 def test_random_texts_of_odd_parts():
-    own, theirs = rank_bpe.vocabulary(PATH, *rank_bpe.matched_patterns(P.PATTERN)), library(PATH)
+    own, theirs = rank_bpe.vocabulary(PATH, *matched_patterns(P.PATTERN, "tiktoken")), library(PATH)
     rng = random.Random(3)
     parts = ["a", "aa", "ab", " ", "é", "中", "\n", "0", "١", "՘", "\U0003fc3d", "\U00011de0", "'s", "𝒜", "\x1c", "　", "!!", "한국", "\0"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
-        ids = np.frombuffer(own.encode(text), "<u4")
+        ids = np.frombuffer(own.encode([text])[0], "<u4")
         assert ids.tolist() == theirs.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
 
 
 @pytest.mark.parametrize("make", [lambda r: "a" * 200_000, lambda r: "ab" * 50_000, lambda r: "".join(r.choice("abcdefghij") for _ in range(200_000))])
 def test_long_pretokens(make):
-    own, text = rank_bpe.vocabulary(PATH, *rank_bpe.matched_patterns(P.PATTERN)), make(random.Random(4))
-    assert np.frombuffer(own.encode(text), "<u4").tolist() == library(PATH).encode_ordinary(text)
+    own, text = rank_bpe.vocabulary(PATH, *matched_patterns(P.PATTERN, "tiktoken")), make(random.Random(4))
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library(PATH).encode_ordinary(text)
     assert not own.buckets and not any(own.low), "the queue is empty between pre-tokens"
 
 
@@ -49,7 +50,7 @@ def test_equal_ranks_go_leftmost_first_and_lower_ranks_may_appear_late(tmp_path)
     with open(path, "wb") as f:
         f.writelines(base64.b64encode(p) + b" %d\n" % k for k, p in enumerate(pieces))
     pattern = r"[abc]+|[^abc]+"
-    own, theirs = rank_bpe.RankVocabulary(path, *rank_bpe.matched_patterns(pattern)), library(path, pattern)
+    own, theirs = rank_bpe.RankVocabulary(path, *matched_patterns(pattern, "tiktoken")), library(path, pattern)
     rng = random.Random(5)
     for _ in range(2000):
         text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 30)))
@@ -58,9 +59,9 @@ def test_equal_ranks_go_leftmost_first_and_lower_ranks_may_appear_late(tmp_path)
 
 def test_cleared_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(rank_bpe, "KEPT", 3)
-    own = rank_bpe.RankVocabulary(PATH, *rank_bpe.matched_patterns(P.PATTERN))
+    own = rank_bpe.RankVocabulary(PATH, *matched_patterns(P.PATTERN, "tiktoken"))
     for text in ["one two three four five", "five six seven", "one two"] * 3:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == library(PATH).encode_ordinary(text)
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library(PATH).encode_ordinary(text)
 
 
 def test_a_file_without_a_byte_is_refused(tmp_path):
@@ -68,7 +69,7 @@ def test_a_file_without_a_byte_is_refused(tmp_path):
     with open(path, "wb") as f:
         f.write(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError, match="byte"):
-        rank_bpe.RankVocabulary(path, *rank_bpe.matched_patterns(P.PATTERN))
+        rank_bpe.RankVocabulary(path, *matched_patterns(P.PATTERN, "tiktoken"))
 
 
 def test_odd_rows(spark):

@@ -9,6 +9,7 @@ on which the two differ are split by a pattern that lists the difference.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -56,26 +57,33 @@ def matched_patterns(pattern: str, library: str) -> tuple[str, str, str]:
 
 
 class Kept(dict):
-    """Ids, as bytes, of the short words met lately: two generations of up to ``most`` words, of which the older one goes whole."""
+    """Ids, as bytes, of the short words met lately: two generations of up to ``most`` words, of which the older one goes whole.
 
-    def __init__(self, encode, most: int, longest: int):
+    ``encode`` gives the ids of each of many words.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int, longest: int):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(word) <= self.longest:
-            self[word] = ids
-        return ids
-
-    def joined(self, words: list[str]) -> bytes:
+        """A long word, which is not kept."""
+        return self.encode([word])[0]
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words end to end; words that are not known are encoded at once."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, words))
+        old, new = self.old, []
+        for word in set().union(*texts).difference(self):
+            if word in old:
+                self[word] = old[word]
+            elif len(word) <= self.longest:
+                new.append(word)
+        self.update(zip(new, self.encode(new), strict=True))
+        return [b"".join(map(self.__getitem__, words)) for words in texts]
 
 
 class Splitter:
@@ -84,8 +92,10 @@ class Splitter:
     def __init__(self, plain: str, exact: str, unsure: str):
         self.plain, self.exact = regex.compile(plain).findall, regex.compile(exact, regex.V1).findall
         self.unsure = re.compile(f"[{unsure}]").search if unsure else None
+        #: The least first byte, in UTF-8, of a code point on which the patterns differ: few texts need to be searched.
+        self.least = min(chr(int(x, 16)).encode()[0] for x in re.findall(r"\\U([0-9a-f]{8})", unsure)) if unsure else 256
 
     def words(self, text: str) -> list[str]:
-        if self.unsure is None or text.isascii() or not self.unsure(text):
+        if self.unsure is None or text.isascii() or np.frombuffer(text.encode(), np.uint8).max() < self.least or not self.unsure(text):
             return self.plain(text)
         return self.exact(text)

@@ -1,7 +1,7 @@
 """Byte-level BPE by merge ranks: a rank queue of hierarchical bitmaps over a linked list.
 
-A pre-token is a linked list of byte runs.  Every pair of neighbours that the
-rank file knows waits in the bucket of its rank; a bitmap tells the ranks that
+A pre-token is a linked list of byte runs.  Pairs of neighbours that the rank file
+knows, and that go before the pairs beside them, wait in the bucket of their rank; a bitmap tells the ranks that
 have a bucket and a bitmap above it the words of the first that are not zero, so
 the least rank is two find-first-set steps away however long the pre-token is.
 A bucket, a position or a heap of them, gives its leftmost position first.  A merge changes the pairs to both
@@ -25,37 +25,37 @@ Defined results for odd input
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickflow.llm.pretokens import Kept, Splitter, matched_patterns
 from tickflow.llm.shared import chunks
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
-#: Pre-tokens of up to so many bytes are kept with their ids, and so many of them, before a task begins anew.
-KEPT_BYTES, KEPT = 48, 300_000
+#: Pre-tokens kept with their ids by a task in each of two generations, and the longest of them.
+KEPT, KEPT_CHARS = 400_000, 48
 #: Bits of one word of the bitmaps, of which there are two levels: ranks go up to its square.
 SHIFT = 9
 MASK = (1 << SHIFT) - 1
 _BIT = [1 << k for k in range(1 << SHIFT)]
+#: Above all ranks.
+NONE = 1 << 2 * SHIFT
 
 
 class RankVocabulary:
     """A rank file and a pre-token pattern: ids of texts, bytes of ids."""
 
-    def __init__(self, path: str, pattern: str, exact: str, unsure: str):
+    def __init__(self, path: str, *patterns: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
         if any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError(f"{path} lacks a byte of its own")
-        self.longest = max(map(len, self.ranks))
         self.pieces = {rank: piece for piece, rank in self.ranks.items()}
         if max(self.pieces) >> 2 * SHIFT:
             raise ValueError(f"{path} has ranks of {1 << 2 * SHIFT} or more")
@@ -63,14 +63,8 @@ class RankVocabulary:
         self.low = [0] * (1 << SHIFT)
         self.buckets: dict[int, int | list[int]] = {}
         self.code = [i.to_bytes(4, "little") for i in range(max(self.pieces) + 1)].__getitem__
-        self.plain, self.exact = regex.compile(pattern).findall, regex.compile(exact, regex.V1).findall
-        self.unsure = re.compile(f"[{unsure}]").search if unsure else None
-        self.known = _Known(self)
-
-    def pretokens(self, text: str) -> list[str]:
-        if self.unsure is None or text.isascii() or not self.unsure(text):
-            return self.plain(text)
-        return self.exact(text)
+        self.pretokens = Splitter(*patterns).words
+        self.known = Kept(self._words, KEPT, KEPT_CHARS)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token; that of the whole where the file has it."""
@@ -78,36 +72,40 @@ class RankVocabulary:
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        longest, low, top, buckets = self.longest, self.low, 0, self.buckets
-        following = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        pair = [rank_of(piece[at : at + 2], -1) for at in range(n - 1)]
-        pair.append(-1)
-        waiting = [(rank, at) for at, rank in enumerate(pair) if rank >= 0]
+        low, top, buckets = self.low, 0, self.buckets
+        following = [*range(1, n + 1), n]
+        before = list(range(-1, n))
+        # The rank of the pair that starts at each position; NONE at the ends, which are also positions n and -1.
+        pair = [rank_of(piece[at : at + 2], NONE) for at in range(n - 1)] + [NONE, NONE]
+        queued = [NONE] * (n + 1)
+        changed = range(n - 1)
         while True:
-            for rank, at in waiting:
-                held = buckets.get(rank)
-                if held is None:
+            for at in changed:
+                rank = pair[at]
+                # Only a pair that goes before both its neighbours can be next; a neighbour's change brings it here again.
+                if rank >= pair[before[at]] or rank > pair[following[at]] or rank == queued[at]:
+                    continue
+                queued[at] = rank
+                if rank not in buckets:
                     word = rank >> SHIFT
                     buckets[rank] = at
                     low[word] |= _BIT[rank & MASK]
                     top |= _BIT[word]
-                elif held.__class__ is int:
+                elif (held := buckets[rank]).__class__ is int:
                     buckets[rank] = [held, at] if held < at else [at, held]
                 else:
                     heappush(held, at)
             while top:
-                first = top & -top
-                word = first.bit_length() - 1
+                word = (top ^ (top - 1)).bit_length() - 1
                 bits = low[word]
-                bit = bits & -bits
-                rank = (word << SHIFT) + bit.bit_length() - 1
+                rest = bits & (bits - 1)
+                rank = (word << SHIFT) + (bits ^ rest).bit_length() - 1
                 at = buckets[rank]
                 if at.__class__ is int:
                     del buckets[rank]
-                    low[word] = bits ^ bit
-                    if bits == bit:
-                        top ^= first
+                    low[word] = rest
+                    if not rest:
+                        top &= top - 1
                 else:
                     held, at = at, heappop(at)
                     if len(held) == 1:
@@ -117,22 +115,15 @@ class RankVocabulary:
                 # else the position is stale: one of its neighbours has changed
             else:
                 break
-            gone = following[at]
+            gone, left = following[at], before[at]
             following[at] = end = following[gone]
-            pair[gone] = pair[at] = -1
-            waiting = []
-            if end < n:
-                before[end] = at
-                beyond = following[end]
-                if beyond - at <= longest and (rank := rank_of(piece[at:beyond])) is not None:
-                    pair[at] = rank
-                    waiting.append((rank, at))
-            left = before[at]
+            before[end] = at
+            pair[gone] = NONE
+            pair[at] = rank_of(piece[at : following[end]], NONE) if end < n else NONE
+            changed = at, end
             if left >= 0:
-                pair[left] = -1
-                if end - left <= longest and (rank := rank_of(piece[left:end])) is not None:
-                    pair[left] = rank
-                    waiting.append((rank, left))
+                pair[left] = rank_of(piece[left:end], NONE)
+                changed = before[left], left, at, end
         out, at = [], 0
         while at < n:
             end = following[at]
@@ -140,67 +131,19 @@ class RankVocabulary:
             at = end
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        return b"".join(map(known.__getitem__, self.pretokens(text)))
+    def _words(self, words: list[str]) -> list[bytes]:
+        code, merge = self.code, self.merge
+        return [b"".join(map(code, merge(word.encode()))) for word in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.known.joined(list(map(self.pretokens, texts)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         piece = self.pieces.__getitem__
         return b"".join([b"".join(map(piece, ids[k : k + (1 << 17)].tolist())) for k in range(0, len(ids), 1 << 17)])
 
 
-class _Known(dict):
-    """Ids of the pre-tokens met; long ones are not kept."""
-
-    def __init__(self, vocabulary: RankVocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> bytes:
-        piece = word.encode()
-        ids = b"".join(map(self.vocabulary.code, self.vocabulary.merge(piece)))
-        if len(piece) <= KEPT_BYTES:
-            self[word] = ids
-        return ids
-
-
-def _ranges(points: np.ndarray) -> str:
-    """A character class's inside that holds the code points ``points``, ascending."""
-    cuts = np.flatnonzero(np.diff(points) != 1) + 1
-    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in np.split(points, cuts) if len(run))
-
-
-def _members(find, text: str) -> np.ndarray:
-    return np.array(sorted(map(ord, set(find(text)))), np.int64)
-
-
-@lru_cache(maxsize=4)
-def matched_patterns(pattern: str) -> tuple[str, str, str]:
-    """(pattern, pattern with the library's own classes, the code points on which they differ).
-
-    Letters and numbers are those of the Unicode version that the tiktoken library was built
-    with; the class of each is asked of it once, on the driver.  White space is the Unicode property.
-    """
-    import tiktoken
-
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    ranks = {bytes([b]): b for b in range(256)}
-    plain = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    exact, unsure = plain, []
-    for name in (r"\p{L}", r"\p{N}"):
-        library = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=ranks, special_tokens={})
-        theirs = _members(lambda text, e=library: e.decode(e.encode_ordinary(text)), every)
-        ours = _members(regex.compile(name).findall, every)
-        less, more = np.setdiff1d(ours, theirs), np.setdiff1d(theirs, ours)
-        inside = f"[[{name}--[{_ranges(less)}]]" if len(less) else f"[{name}"
-        exact = exact.replace(name, inside + (f"||[{_ranges(more)}]" if len(more) else "") + "]")
-        unsure += [*less, *more]
-    return plain, exact, _ranges(np.array(sorted(unsure), np.int64))
-
-
 @lru_cache(maxsize=1)
 def vocabulary(path: str, *patterns: str) -> RankVocabulary:
     return RankVocabulary(path, *patterns)
@@ -208,12 +151,12 @@ def vocabulary(path: str, *patterns: str) -> RankVocabulary:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each row of ``docs`` by the rank file ``path``."""
-    patterns = matched_patterns(pattern)
+    patterns = matched_patterns(pattern, "tiktoken")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path, *patterns)
-        for batch in chunks(batches, "text"):
-            ids = [voc.encode(text or "") for text in batch.column(1).to_pylist()]
+        for batch in chunks(batches, "text", 1 << 20):
+            ids = voc.encode([text or "" for text in batch.column(1).to_pylist()])
             sizes = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -222,7 +165,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of ``encode_documents`` with ``decoded``, the bytes of their ids."""
-    patterns = matched_patterns(pattern)
+    patterns = matched_patterns(pattern, "tiktoken")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path, *patterns)
