@@ -10,7 +10,6 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from tickflow.llm import alignment, bpe, queries  # noqa: E402
-from tickflow.llm.pretokens import matched_patterns  # noqa: E402
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -93,11 +92,12 @@ def odd_texts(n):
 
 
 def test_encoders_equal_their_libraries():
-    libraries, pair = Libraries(), alignment.tokenizers(A, B, matched_patterns(bpe.PATTERN, "tokenizers"))
+    libraries, pair = Libraries(), alignment.tokenizers(A, B)
     assert pair[1].by_words
+    own = alignment.ByteTokenizer._by_its_library(A)
     for text in [*odd_texts(1500), " ", "   ", "a ", " a", "a  b   ", "▁", "x▁y", "a" * 5000]:
-        assert pair[0].ids(text).tolist() == libraries.a.encode(" " + text, add_special_tokens=False).ids
-        assert pair[1].ids(text).tolist() == libraries.b.encode(text)
+        assert own([" " + text])[0].tolist() == pair[0].ids([text])[0].tolist() == libraries.a.encode(" " + text, add_special_tokens=False).ids
+        assert pair[1].ids([text])[0].tolist() == libraries.b.encode(text)
 
 
 def test_odd_rows(spark, monkeypatch):
@@ -107,6 +107,8 @@ def test_odd_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, block int, pair int").repartition(2)
     expected = ordered(brute(rows))
     assert ordered(alignment.summarize(docs, A, B).collect()) == expected
+    monkeypatch.setattr(alignment, "SENT", 0)  # the other way back
+    assert ordered(alignment.summarize(docs, A, B).collect()) == expected
     empty = alignment.summarize(docs.limit(0), A, B)
     assert empty.collect() == [] and empty.columns == [c.split()[0] for c in alignment.SUMMARY.split(", ")]
 
@@ -154,7 +156,7 @@ def test_stretches_and_blocks(monkeypatch):
     for b in blocks:
         own = alignment.unpack(b.to_pylist()[0]["pairs"], "<u8").tolist()
         counts = pa.table({"pair": own[::-1], "n": [totals[p] for p in own[::-1]], "best": [totals[p] == most[p & 0xFFFFFFFF] for p in own[::-1]]})
-        found += [tuple(r.values()) for r in alignment._finish(pa.Table.from_batches([b]), counts).to_pylist()]
+        found += [tuple(r.values()) for r in alignment._finished_group(pa.Table.from_batches([b]), counts).to_pylist()]
     assert ordered(found) == ordered(brute(rows))
 
 

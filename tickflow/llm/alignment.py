@@ -16,8 +16,8 @@ so that no group of copies meets in one task.
 
 Counts of linked id pairs over the corpus: the sweep writes its documents in
 blocks, each with its distinct pairs.  A pair is a row for each block, not for
-each link; the sums by pair, and the largest by B id, are joined back to the
-blocks by pair, and each block finishes its own documents.
+each link; the sums by pair, and the largest by B id, go back to the blocks, and
+each block finishes its own documents.
 
 Defined results for odd input
 -----------------------------
@@ -30,8 +30,9 @@ Defined results for odd input
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -44,15 +45,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.llm import bpe
-from tickflow.llm.pretokens import Kept, Splitter, matched_patterns
+from tickflow.llm.pretokens import Kept
 from tickflow.llm.shared import chunks, written
 
 #: Bytes of a text whose ends share an event row.
 STRETCH = 1 << 20
 #: Pairs, told apart within documents, that a block of swept documents holds before it is closed.
 BLOCK_PAIRS = 1_000_000
-#: Words kept with their ids by a task, for each tokenizer in each of two generations, and the longest of them.
+#: Distinct pairs of which the counts, 24 bytes each, go to every task.
+SENT = 1_500_000
+#: Words kept with their ids by a task in each of two generations, and the longest of them.
 KEPT, KEPT_CHARS = 200_000, 48
+#: Fixed value: the byte-level pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 EVENTS = "key long, doc_id long, stretch long, side int, whole boolean, ids binary"
 SWEPT = (
@@ -62,10 +67,6 @@ SWEPT = (
 SUMMARY = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _kept(encode) -> Kept:
-    return Kept(lambda word: np.array(encode(word), "<u4").tobytes(), KEPT, KEPT_CHARS)
-
-
 class Tokenizer:
     """Ids of a text and the bytes of each id."""
 
@@ -76,8 +77,8 @@ class Tokenizer:
             raise ValueError("a token without bytes has no end of its own")
         self.sizes = np.array(list(map(len, self.pieces)), np.int64)
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a space and ``text``."""
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each text."""
         raise NotImplementedError
 
     def whole(self, ids: np.ndarray, raw: bytes) -> bool:
@@ -85,23 +86,42 @@ class Tokenizer:
 
 
 class ByteTokenizer(Tokenizer):
-    """A byte-level tokenizer file; its words are encoded once each by its library."""
-
-    def __init__(self, path: str, patterns: tuple[str, str, str]):
-        from tokenizers import Tokenizer as Library
+    """A byte-level tokenizer file.  Where its merges come in the order of their ids, the ids are ranks, and the
+    tiktoken library encodes by them; else its own library does.  Byte-level tokens always give the text back."""
 
+    def __init__(self, path: str, pattern: str):
         voc = bpe.Vocabulary(path)
         self.pieces = [voc.pieces.get(i, b"\0") for i in range(max(voc.pieces) + 1)]
         self.prepare()
+        with open(path, encoding="utf-8") as f:
+            raw = json.load(f)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in raw["model"]["merges"]]
+        made = [raw["model"]["vocab"][a + b] for a, b in merges]
+        plain = {piece: i for i, piece in voc.pieces.items() if piece.decode("utf-8", "replace") not in voc.special}
+        single = [plain.get(bytes([b]), len(plain)) for b in range(256)]
+        if made == sorted(set(made)) and max(single) < min(made, default=len(plain)) and len(plain) == 256 + len(made):
+            import tiktoken
+
+            library = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=plain, special_tokens={})
+            self.encode = lambda texts: [library.encode_to_numpy(text, disallowed_special=()).astype("<u4") for text in texts]
+        else:
+            self.encode = self._by_its_library(path)
+
+    @staticmethod
+    def _by_its_library(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+        from tokenizers import Tokenizer as Library
+
         library = Library.from_file(path)
         library.no_padding()
         library.no_truncation()
         library.encode_special_tokens = True
-        self.split = Splitter(*patterns).words
-        self.kept = _kept(lambda word: library.encode(word, add_special_tokens=False).ids)
+        return lambda texts: [np.array(e.ids, "<u4") for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode([" " + text for text in texts])
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.kept.joined(self.split(" " + text)), "<u4")
+    def whole(self, ids: np.ndarray, raw: bytes) -> bool:
+        return int(self.sizes[ids].sum()) == len(raw)
 
 
 class PieceTokenizer(Tokenizer):
@@ -121,7 +141,7 @@ class PieceTokenizer(Tokenizer):
         ]
         self.prepare()
         self.space = model.piece_to_id("▁")
-        self.kept = _kept(self._word)
+        self.kept = Kept(self._words, KEPT, KEPT_CHARS)
         probe = "a  b "
         self.by_words = (
             self.space != model.unk_id()
@@ -130,18 +150,20 @@ class PieceTokenizer(Tokenizer):
         )
         self.find = re.compile(" +[^ ]*").findall
 
-    def _word(self, word: str) -> list[int]:
-        return self.model.encode(word[1:]) if len(word) > 1 else [self.space]
+    def _words(self, words: list[str]) -> list[bytes]:
+        found = self.model.encode([word[1:] for word in words], num_threads=1) if words else []
+        return [np.array(ids if len(word) > 1 else [self.space], "<u4").tobytes() for word, ids in zip(words, found, strict=True)]
 
-    def ids(self, text: str) -> np.ndarray:
-        if not self.by_words or "▁" in text:
-            return np.array(self.model.encode(text), "<u4")
-        return np.frombuffer(self.kept.joined(self.find(" " + text)), "<u4")
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(ids, "<u4") for ids in self.model.encode(texts, num_threads=1)] if texts else []
+        found = self.kept.joined([self.find(" " + text) if "▁" not in text else [] for text in texts])
+        return [np.frombuffer(x, "<u4") if "▁" not in text else np.array(self.model.encode(text), "<u4") for x, text in zip(found, texts, strict=True)]
 
 
 @lru_cache(maxsize=1)
-def tokenizers(path_a: str, path_b: str, patterns: tuple[str, str, str]) -> tuple[Tokenizer, Tokenizer]:
-    return ByteTokenizer(path_a, patterns), PieceTokenizer(path_b)
+def tokenizers(path_a: str, path_b: str) -> tuple[Tokenizer, Tokenizer]:
+    return ByteTokenizer(path_a, PATTERN), PieceTokenizer(path_b)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -159,25 +181,23 @@ def unpack(packed: bytes, kind: str = "<u4") -> np.ndarray:
 
 def end_events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Event rows of both tokenizers over ``doc_id`` and ``text``; a text without tokens has one row, not ``whole``."""
-    patterns = matched_patterns(bpe.PATTERN, "tokenizers")
-
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, place = tokenizers(path_a, path_b, patterns), TaskContext.get().partitionId()
-        for batch in chunks(batches, "text"):
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = b" " + (text or "").encode()
+        pair, place = tokenizers(path_a, path_b), TaskContext.get().partitionId()
+        for batch in chunks(batches, "text", 1 << 20):
+            rows, texts = [], [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, text, *coded in zip(batch.column(0).to_pylist(), texts, *[t.ids(texts) for t in pair], strict=True):
+                raw = b" " + text.encode()
                 key = xxhash.xxh64_intdigest(raw, seed=xxhash.xxh64_intdigest(f"{doc_id},{place}")) - (1 << 63)
-                coded = [t.ids(text) for t in pair] if text else []
                 if not text or not all(t.whole(ids, raw) for t, ids in zip(pair, coded, strict=True)):
                     rows.append((key, doc_id, 0, 0, False, b""))
                     continue
                 for side, ids in enumerate(coded):
-                    ends = np.cumsum(pair[side].sizes[ids])
-                    first = (ends - 1) // STRETCH
-                    cuts = np.flatnonzero(np.diff(first)) + 1
-                    for part in np.split(np.arange(len(ids)), cuts) if len(cuts) else [slice(None)]:
-                        rows.append((key, doc_id, int(first[part][0]), side, True, pack(ids[part])))
+                    if len(raw) <= STRETCH:
+                        rows.append((key, doc_id, 0, side, True, pack(ids)))
+                        continue
+                    first = (np.cumsum(pair[side].sizes[ids]) - 1) // STRETCH
+                    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(first)) + 1):
+                        rows.append((key, doc_id, int(first[part[0]]), side, True, pack(ids[part])))
             arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, _NAMES)
 
@@ -221,7 +241,9 @@ class Sweep:
         """Both open parts begin at the last common end, so ends are counted from there."""
         a, b = np.concatenate([self.open_a, a]), np.concatenate([self.open_b, b])
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = np.flatnonzero(ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a) if len(ends_b) else at[:0]
+        last_b = at[last_a]
         n_a, n_b = (int(x[-1]) + 1 if len(x) else 0 for x in (last_a, last_b))
         self.open_a, self.open_b = a[n_a:], b[n_b:]
         return Groups(a[:n_a], b[:n_b], last_a, last_b)
@@ -282,10 +304,8 @@ def _documents(batches: Iterator[pa.RecordBatch], pair: tuple[Tokenizer, Tokeniz
 
 def sweep(events: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Blocks of swept documents (``SWEPT``) of sorted events."""
-    patterns = matched_patterns(bpe.PATTERN, "tokenizers")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizers(path_a, path_b, patterns)
+        pair = tokenizers(path_a, path_b)
         writer = Writer(len(pair[0].pieces), len(pair[1].pieces))
         block, held, found = TaskContext.get().partitionId() << 32, [], 0
         for doc_id, whole, parts, copies in _documents(batches, pair):
@@ -362,40 +382,58 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def _finish(swept: pa.Table, counts: pa.Table) -> pa.Table:
-    """The documents of one block with the counts of its pairs."""
+_OWN = ["block", "doc_id", "copies", "n_a", "n_b", "n_groups", "digest", "n_pairs", "codes", "times"]
+
+
+def _finished(row: dict, n: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    """The documents of one block (``_OWN`` of ``SWEPT``); ``n`` and ``best`` are the counts of its pairs, ascending."""
+    codes, times = unpack(row["codes"]), unpack(row["times"])
+    owner = np.repeat(np.arange(len(row["n_pairs"])), row["n_pairs"])
+    sums = np.zeros((2, len(row["n_pairs"])), np.int64)
+    np.add.at(sums[0], owner, times * n[codes])
+    np.add.at(sums[1], owner, times * best[codes])
+    copies = np.repeat(np.arange(len(row["doc_id"])), row["copies"])
+    columns = [row["doc_id"], row["n_a"], row["n_b"], row["n_groups"], row["n_groups"], sums[1], sums[0], row["digest"]]
+    kinds = [pa.int64()] * 7 + [pa.string()]
+    arrays = [pa.array(c, kind).take(pa.array(copies)) for c, kind in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [part.split()[0] for part in SUMMARY.split(", ")])
+
+
+def _finished_group(swept: pa.Table, counts: pa.Table) -> pa.Table:
     order = np.argsort(counts.column("pair").to_numpy())
     n, best = (counts.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "best"))
-    out: list[pa.RecordBatch] = []
-    for row in swept.to_pylist():
-        codes, times = unpack(row["codes"]), unpack(row["times"])
-        owner = np.repeat(np.arange(len(row["n_pairs"])), row["n_pairs"])
-        sums = np.zeros((2, len(row["n_pairs"])), np.int64)
-        np.add.at(sums[0], owner, times * n[codes])
-        np.add.at(sums[1], owner, times * best[codes])
-        copies = np.repeat(np.arange(len(row["doc_id"])), row["copies"])
-        columns = [row["doc_id"], row["n_a"], row["n_b"], row["n_groups"], row["n_groups"], sums[1], sums[0], row["digest"]]
-        kinds = [pa.int64()] * 7 + [pa.string()]
-        arrays = [pa.array(c, kind).take(pa.array(copies)) for c, kind in zip(columns, kinds, strict=True)]
-        out.append(pa.RecordBatch.from_arrays(arrays, [part.split()[0] for part in SUMMARY.split(", ")]))
-    return pa.Table.from_batches(out)
+    return pa.Table.from_batches([_finished(row, n, best) for row in swept.to_pylist()])
 
 
 def summarize(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A row of counts and the digest of its groups (``SUMMARY``) for each row of ``docs``."""
+    """A row of counts and the digest of its groups (``SUMMARY``) for each row of ``docs``.
+
+    Distinct pairs are counted first.  Up to ``SENT`` of them go to every task as sorted arrays, and blocks finish
+    where they are; more are joined to the blocks that hold them.
+    """
     swept = written(sweep(by_document(end_events(docs, path_a, path_b)), path_a, path_b))
     pairs = block_pairs(swept)
-    back = pairs.select("block", "pair").join(pair_counts(pairs), "pair").select("block", "pair", "n", "best")
-    own = swept.select("block", "doc_id", "copies", "n_a", "n_b", "n_groups", "digest", "n_pairs", "codes", "times")
-    return own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_finish, SUMMARY)
+    counts = written(pair_counts(pairs))
+    if counts.count() > SENT:
+        back = pairs.select("block", "pair").join(counts, "pair").select("block", "pair", "n", "best")
+        return swept.select(*_OWN).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_finished_group, SUMMARY)
+    table = counts.orderBy("pair").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast([table.column(c).to_numpy().astype(np.int64) for c in ("pair", "n", "best")])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, n, best = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = np.searchsorted(pair, unpack(row["pairs"], "<u8"))
+                yield _finished(row, n[at], best[at])
+
+    return swept.select(*_OWN, "pairs").mapInArrow(finish, SUMMARY)
 
 
 def token_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, start, end, a, b): each group's ids and its bytes in the space and text; repeated rows repeat."""
-    patterns = matched_patterns(bpe.PATTERN, "tokenizers")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizers(path_a, path_b, patterns)
+        pair = tokenizers(path_a, path_b)
         for doc_id, _, parts, copies in _documents(batches, pair):
             start, lists = 0, []
             for g in parts:
