@@ -35,3 +35,30 @@ def test_every_fit_has_a_bootstrap_row(spark):
     got = {r.k: r for r in M.bootstrap(fits, 4, 300.0).collect()}
     assert set(got) == {0, 1, 2} and got[0].boot_n <= 4
     assert [(got[k].boot_n, got[k].boot_mean, got[k].boot_hi) for k in (1, 2)] == [(0, None, None)] * 2
+
+
+def test_learned_replicates_are_groups(spark):
+    """One row for each session, window and baseline, with its own replicates, whichever way they are dealt."""
+    rows = [(name, 1, i, float(t)) for name in ("x", "y") for i, t in enumerate(range(5, 5000, 90))]
+    stream = spark.createDataFrame(rows, "instrument string, day long, seq long, t double")
+    run = lambda: M.run_neural(stream, ["const", "mlp"], 2, 3000, 2000, 5000.0, 1.0, 500.0, steps=8, polish=2, replicates=3, within=50.0, per_decade=8)
+    got = {(r.instrument, r.k, r.fitter): r for r in run().collect()}
+    assert set(got) == {(i, k, f) for i in "xy" for k in (0, 1) for f in ("neural_const", "neural_mlp")}
+    for r in got.values():
+        assert r.n_events > 20 and len(r.kernel_phi) == 14 and r.fit_seconds > 0 and r.ks_stat is not None
+        assert r.boot_n + r.boot_abandoned <= 3 and (r.boot_n == 0 or r.boot_lo <= r.boot_mean <= r.boot_hi)
+    assert any(r.boot_n for r in got.values())
+    again = {(r.instrument, r.k, r.fitter): (r.n, r.boot_mean) for r in run().collect()}
+    assert again == {k: (r.n, r.boot_mean) for k, r in got.items()}
+    assert M.run_neural(stream.limit(0), ["const"], 2, 3000, 2000, 5000.0, 1.0, 500.0).count() == 0
+
+
+def test_a_kernel_without_mass_has_no_children():
+    import numpy as np
+
+    from tickflow.functions import neural as N
+
+    model = N.Model(N.Grid(1.0, 100.0, 10), "const", np.log(0.01), 0)
+    model.p["scale"] = np.array([-1e4])
+    fit = N.NeuralFit(model, 0.0, 1000.0, 10, 0.0, True)
+    assert fit.n == 0 and len(N.neural_times(fit, 0.0, 1000.0, np.random.default_rng(1))) > 0

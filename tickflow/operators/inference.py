@@ -29,6 +29,12 @@ def pair_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(C.COMPARISONS, "a string, b string")
 
 
+def compared(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """Each row of ``table`` once for every comparison (a, b) that its period is in: a join on equal periods."""
+    sides = pair_list(spark).select("a", "b", F.explode(F.array("a", "b")).alias("period"))
+    return table.join(F.broadcast(sides), "period")
+
+
 def paired(spark: SparkSession, stats: DataFrame, count: str = "windows") -> DataFrame:
     """Each comparison of a model whose two periods have two windows or more; columns end in _a and _b."""
     side = lambda s: stats.select("model", F.col("period").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in stats.columns if c not in ("model", "period")])
@@ -56,7 +62,7 @@ def perm_floor(pairs: DataFrame) -> DataFrame:
 
 def mann_whitney(spark: SparkSession, table: DataFrame) -> DataFrame:
     """U of the first period of each comparison, ties counted half, from ranks within the two."""
-    both = table.join(F.broadcast(pair_list(spark)), F.col("period").isin(F.col("a"), F.col("b")))
+    both = compared(spark, table)
     key = ["model", "a", "b"]
     order = Window.partitionBy(*key).orderBy("est")
     same = Window.partitionBy(*key, "est")
@@ -132,16 +138,17 @@ def permutation_p(x: np.ndarray, y: np.ndarray, seed: list[int], draws: int = 20
         sums = np.array([pooled[list(c)].sum() for c in combinations(range(n), k)])
         return float(np.mean(abs(sums / k - (total - sums) / (n - k)) >= observed))
     rng, hits = np.random.default_rng(seed), 0
-    for lo in range(0, draws, 1000):
-        order = rng.random((min(1000, draws - lo), n)).argsort(1)[:, :k]
+    at_once = max(1, min(1000, 2_000_000 // n))  # the draws are the same however many are held at once
+    for lo in range(0, draws, at_once):
+        order = rng.random((min(at_once, draws - lo), n)).argsort(1)[:, :k]
         sums = pooled[order].sum(1)
         hits += int((abs(sums / k - (total - sums) / (n - k)) >= observed).sum())
     return (hits + 1) / (draws + 1)
 
 
-def period_tests(spark: SparkSession, table: DataFrame, seed: int = 20210128) -> DataFrame:
+def period_tests(spark: SparkSession, table: DataFrame, seed: int = 20210128, exact_up_to: int = 0) -> DataFrame:
     """Every test of every comparison; one group per model and comparison, seeded by its name."""
-    both = table.join(F.broadcast(pair_list(spark)), F.col("period").isin(F.col("a"), F.col("b")))
+    both = compared(spark, table)
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         model, a, b = key
@@ -161,7 +168,7 @@ def period_tests(spark: SparkSession, table: DataFrame, seed: int = 20210128) ->
                     "diff": x.mean() - y.mean(),
                     "welch_t": t,
                     "welch_p": P.student_t_two_sided(t, df),
-                    "perm_p": permutation_p(x, y, name),
+                    "perm_p": permutation_p(x, y, name, exact_up_to=exact_up_to),
                     "perm_p_floor": 2 / comb(len(x) + len(y), len(x)),
                     "mannwhitney_p": P.mann_whitney_p(x, y),
                 }

@@ -20,6 +20,7 @@ from tickflow.functions import neural as N
 from tickflow.functions import simulate as S
 from tickflow.operators import tables as T
 from tickflow.operators import windows as W
+from tickflow.operators.streams import session_keys
 
 SEED = 20210128
 
@@ -90,37 +91,44 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def windowed(stream: DataFrame, n: int, length: float, stride: float, before: float) -> DataFrame:
-    """Stream rows (day, t) by window and role, with a null row for each window of each day and the day's last time.
+    """Stream rows (session, t) by window and role, with a null row for each window of each session and the session's last time.
 
     ``before`` is how far back history reaches.
     """
-    rows = W.assign(stream.select("day", "t"), n, length, stride, before=before, after=length).select("day", "k", "t", "role")
-    days = stream.groupBy("day").agg(F.max("t").alias("last"))
-    every = days.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    empty = every.select("day", "k", F.lit(None).cast("double").alias("t"), F.lit("fit").alias("role"))
-    return rows.unionByName(empty).join(days, "day")
+    keys = session_keys(stream)
+    rows = W.assign(stream.select(*keys, "t"), n, length, stride, before=before, after=length).select(*keys, "k", "t", "role")
+    sessions = stream.groupBy(*keys).agg(F.max("t").alias("last"))
+    every = sessions.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    empty = every.select(*keys, "k", F.lit(None).cast("double").alias("t"), F.lit("fit").alias("role"))
+    return rows.unionByName(empty).join(sessions, keys)
+
+
+def session_row(stream: DataFrame, row: str) -> str:
+    """The schema ``row``, which begins with the day, with the session's other columns before it."""
+    return "".join(f"{k} {stream.schema[k].dataType.simpleString()}, " for k in session_keys(stream) if k != "day") + row
 
 
 def run_rolling(
     stream: DataFrame, names: list[str], n: int, length: float, stride: float, session: float = 86_400.0, margin: float = 900.0, unit: float = 1.0
 ) -> DataFrame:
-    """One scored fit per day, window and fitter."""
+    """One scored fit per session, window and fitter."""
+    keys = [*session_keys(stream), "k"]
     slowest = max(60.0 if name.startswith("exp") else 10.0 for name in names) * unit
     rows = windowed(stream, n, length, stride, min(session, H.REACH * slowest))
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        day, k = key
+        k = key[-1]
         t0, t1 = float(k * stride), float(k * stride + length)
         by = {r: np.sort(g["t"].dropna().to_numpy()) for r, g in part.groupby("role")}
         times, history, nxt = (by.get(r, np.zeros(0)) for r in ("fit", "history", "next"))
-        row = {"day": day, "k": k, "t0": t0, "t1": t1, "t_mid": (t0 + t1) / 2, "edge_window": t0 < margin or t1 > session - margin}
+        row = {**dict(zip(keys, key, strict=True)), "t0": t0, "t1": t1, "t_mid": (t0 + t1) / 2, "edge_window": t0 < margin or t1 > session - margin}
         out = []
         for name in names:
             fitted = fitters(unit)[name](times, history, t0, t1)
             out.append(row | {"fitter": name} | score(name, fitted, times, history, nxt, t0, t1, session, part["last"].iloc[0]))
         return pd.DataFrame(out)
 
-    return spread(rows, "day", "k").groupBy("day", "k").applyInPandas(fit, FIT_ROW)
+    return spread(rows, *keys).groupBy(*keys).applyInPandas(fit, session_row(stream, FIT_ROW))
 
 
 def bootstrap(fits: DataFrame, replicates: int, burn_in: float, unit: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -128,29 +136,35 @@ def bootstrap(fits: DataFrame, replicates: int, burn_in: float, unit: float = 1.
 
     Fits with n >= 1 or without events have no replicates, and a row with ``boot_n`` 0.
     """
-    names = list(fitters())
+    names, session = list(fitters()), session_keys(fits)
     drawn = F.when(F.expr("n < 1 AND n_events > 0"), F.sequence(F.lit(0), F.lit(replicates - 1))).otherwise(F.array(F.lit(-1)))
-    rows = fits.withColumn("replicate", F.explode(drawn)).select("day", "k", "fitter", "t0", "t1", "mu", "alpha", "timescales", "replicate")
+    rows = fits.withColumn("replicate", F.explode(drawn)).select(*session, "k", "fitter", "t0", "t1", "mu", "alpha", "timescales", "replicate")
+    keys = [*session, "k", "fitter", "replicate"]
 
     def refit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        day, k, name, replicate = key
+        *_, k, name, replicate = key
         if replicate < 0:
-            return pd.DataFrame([{"day": day, "k": k, "fitter": name, "replicate": replicate, "n": None}])
+            return pd.DataFrame([{**dict(zip(keys, key, strict=True)), "n": None}])
         r = part.iloc[0]
         kind, pieces = ("spline", 5) if "spline" in name else ("constant", 1)
         mu, alpha, betas = np.array(r.mu), np.array(r.alpha), 1 / np.array(r.timescales)
         fit = H.Fit("mixture", betas, alpha, mu, kind, pieces, r.t0, r.t1, 0, 0.0, True, np.nan, np.nan)
-        rng = np.random.default_rng([seed, int(day), int(k), names.index(name), int(replicate)])
+        rng = np.random.default_rng([seed, *key_seed(key[: len(session)]), int(k), names.index(name), int(replicate)])
         history, times = S.window_times(S.Params(fit.mu_at, alpha, betas, fit.mu_max), r.t0, r.t1, rng, burn_in)
         value = None
         if len(times) >= 10:
             again = fitters(unit)[name](times, history, r.t0, r.t1)
             value = again.n if again.converged else None
-        return pd.DataFrame([{"day": day, "k": k, "fitter": name, "replicate": replicate, "n": value}])
+        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), "n": value}])
+
+    schema = session_row(fits, "day long, k long, fitter string, replicate int, n double")
+    out = spread(rows, *keys).groupBy(*keys).applyInPandas(refit, schema)
+    return T.bootstrap_summary(out, [*session, "k", "fitter"], "n", keep_empty=True)
 
-    keys = ["day", "k", "fitter", "replicate"]
-    out = spread(rows, *keys).groupBy(*keys).applyInPandas(refit, "day long, k long, fitter string, replicate int, n double")
-    return T.bootstrap_summary(out, ["day", "k", "fitter"], "n", keep_empty=True)
+
+def key_seed(session: tuple) -> list[int]:
+    """Whole numbers of a session's key for a generator: its day, and the bytes of a name."""
+    return [x for part in session for x in ([int(part)] if not isinstance(part, str) else part.encode())]
 
 
 RECOVERY_ROW = (
@@ -236,11 +250,10 @@ def simulate_cells(cells: DataFrame, draw: Callable[[tuple, np.random.Generator]
     return spread(cells, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
-NEURAL_ROW = (
+NEURAL_FIT = (
     "day long, k long, fitter string, t0 double, t1 double, n_events long, n double, n_within double, mu_mean double, loglik_per_event double,"
     " converged boolean, kernel_phi array<double>, mu_grid array<double>, heldout_gain_over_poisson_per_event double,"
-    " heldout_gain_kernel_only_per_event double, heldout_n_events long, boot_n long, boot_mean double, boot_sd double, boot_abandoned long, "
-    + ", ".join(f"{c} double" for c in H.GOF)
+    " heldout_gain_kernel_only_per_event double, heldout_n_events long, fit_seconds double, " + ", ".join(f"{c} double" for c in H.GOF)
 )
 
 
@@ -248,24 +261,33 @@ def run_neural(
     stream: DataFrame, bases: list[str], n: int, length: float, stride: float, session: float, s_min: float, s_max: float,
     steps: int = 400, polish: int = 100, replicates: int = 0, within: float = 10.0, per_decade: int = 200, seed: int = SEED,
 ) -> DataFrame:
-    """A learned kernel per day, window and baseline; replicates shrink with the square of the window's events."""
-    rows = windowed(stream, n, length, stride, min(session, s_max)).withColumn("fitter", F.explode(F.array(*map(F.lit, bases))))
+    """A learned kernel per session, window and baseline, with the summary of its bootstrap.
+
+    Replicates shrink with the square of the window's events.  Each is a group of its own: a fit's row goes on with
+    its weights, once for itself and once for each replicate, and the rows of a fit are folded together at the end.
+    """
+    import time
+
+    rows = windowed(stream, n, length, stride, min(session, s_max)).withColumn("fitter", F.explode(F.array(*[F.lit(f"neural_{b}") for b in bases])))
+    keys = [*session_keys(stream), "k", "fitter"]
+    schema = session_row(stream, NEURAL_FIT)
 
     def job(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        day, k, base = key
+        *_, k, name = key
         t0, t1 = float(k * stride), float(k * stride + length)
         by = {r: np.sort(g["t"].dropna().to_numpy()) for r, g in part.groupby("role")}
         times, history, nxt = (by.get(r, np.zeros(0)) for r in ("fit", "history", "next"))
-        grid = N.Grid(s_min, s_max, per_decade)
-        fit = N.fit_neural(times, history, t0, t1, base, grid, steps, seed=0, polish_steps=polish)
+        grid, began = N.Grid(s_min, s_max, per_decade), time.perf_counter()
+        fit = N.fit_neural(times, history, t0, t1, name.removeprefix("neural_"), grid, steps, seed=0, polish_steps=polish)
+        spent = time.perf_counter() - began
         _, phi, big, _ = fit.model.kernel()
         m, span = max(len(times), 1), t1 - t0
         row = {
-            "day": day, "k": k, "fitter": f"neural_{base}", "t0": t0, "t1": t1, "n_events": len(times), "n": fit.n,
+            **dict(zip(keys, key, strict=True)), "t0": t0, "t1": t1, "n_events": len(times), "n": fit.n,
             "n_within": float(grid.big_at(big, np.array([within]))[0]), "mu_mean": fit.mu_mean, "loglik_per_event": fit.loglik / m,
             "converged": fit.converged, "kernel_phi": grid.phi_at(phi, np.geomspace(s_min, s_max * 0.9, 14)).tolist(),
             "mu_grid": fit.mu_grid[::100].tolist(), "heldout_gain_over_poisson_per_event": None, "heldout_gain_kernel_only_per_event": None,
-            "heldout_n_events": 0, "boot_n": 0, "boot_mean": None, "boot_sd": None, "boot_abandoned": 0,
+            "heldout_n_events": 0, "fit_seconds": spent, "weights": fit.model.flat().tolist(),
             **{c: _null(v) for c, v in H.gof_tests(N.rescaled_intervals(fit, times, history)).items()},
         }
         if len(nxt) and len(times) and t1 + span <= min(part["last"].iloc[0], session):
@@ -273,21 +295,49 @@ def run_neural(
             row["heldout_gain_over_poisson_per_event"] = (N.heldout_loglik(fit, nxt, past, t1, t1 + span) - H.poisson_loglik(c, len(times) / span, span)) / c
             row["heldout_gain_kernel_only_per_event"] = (N.heldout_loglik(fit, nxt, past, t1, t1 + span, True) - H.poisson_loglik(c, c / span, span)) / c
             row["heldout_n_events"] = c
-        draws = int(np.clip(replicates * (1500 / m) ** 2, min(3, replicates), replicates)) if fit.n < 1 else 0
-        values = []
-        for b in range(draws):
-            try:
-                t = N.neural_times(fit, t0 - s_max, t1, np.random.default_rng([seed, int(day), int(k), b]), max(3 * m, 5000))
-            except S.SimulationTooLarge:
-                row["boot_abandoned"] += 1
-                continue
-            if (t >= t0).sum() >= 10:
-                values.append(N.fit_neural(t[t >= t0], t[t < t0], t0, t1, base, grid, steps, start=fit.model, polish_steps=0).n)
-        if values:
-            row |= {"boot_n": len(values), "boot_mean": float(np.mean(values)), "boot_sd": float(np.std(values, ddof=1)) if len(values) > 1 else None}
         return pd.DataFrame([row])
 
-    return spread(rows, "day", "k", "fitter").groupBy("day", "k", "fitter").applyInPandas(job, NEURAL_ROW)
+    def again(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        """The replicate's row: its value, or that it grew too large; the fit's own row passes."""
+        *_, k, name, replicate = key
+        part = part.assign(boot=None, abandoned=False)
+        if replicate < 0:
+            return part
+        r, grid = part.iloc[0], N.Grid(s_min, s_max, per_decade)
+        scale, base = max(int(r.n_events), 1), name.removeprefix("neural_")
+        model = N.Model(grid, base, float(np.log(scale / (r.t1 - r.t0))), 0)
+        model.load(np.array(r.weights))
+        fit = N.NeuralFit(model, r.t0, r.t1, int(r.n_events), 0.0, True)
+        rng = np.random.default_rng([seed, *key_seed(key[: len(keys) - 2]), int(k), int(replicate)])
+        try:
+            t = N.neural_times(fit, r.t0 - s_max, r.t1, rng, max(3 * scale, 5000))
+        except S.SimulationTooLarge:
+            return part.assign(abandoned=True)
+        if (t >= r.t0).sum() >= 10:
+            found = N.fit_neural(t[t >= r.t0], t[t < r.t0], r.t0, r.t1, base, grid, steps, start=model, polish_steps=0).n
+            part = part.assign(boot=float(found))
+        return part
+
+    fits = spread(rows, *keys).groupBy(*keys).applyInPandas(job, schema + ", weights array<double>")
+    wanted = F.greatest(F.lit(min(3, replicates)), F.least(F.floor(replicates * F.pow(1500 / F.greatest("n_events", F.lit(1)), 2)), F.lit(replicates))).cast("int")
+    draws = F.when(F.col("n") < 1, wanted).otherwise(0)
+    each = fits.withColumn("replicate", F.explode(F.sequence(F.lit(-1), draws - 1)))
+    own = [f.name for f in fits.schema if f.name not in keys and f.name != "weights"]
+    # Only what a refit reads goes along with a replicate.
+    each = each.withColumns({c: F.when(F.col("replicate") < 0, F.col(c)) for c in own if c not in ("t0", "t1", "n_events")})
+    each = each.withColumn("weights", F.when(F.col("replicate") >= 0, F.col("weights")))
+    spread_schema = schema + ", weights array<double>, replicate int, boot double, abandoned boolean"
+    done = spread(each, *keys, "replicate").groupBy(*keys, "replicate").applyInPandas(again, spread_schema)
+    value = F.when(~F.isnan("boot"), F.col("boot"))
+    return done.groupBy(*keys).agg(
+        *[F.max_by(c, F.col("replicate") < 0).alias(c) for c in own],
+        F.count(value).alias("boot_n"),
+        F.avg(value).alias("boot_mean"),
+        F.stddev_samp(value).alias("boot_sd"),
+        F.percentile(value, 0.025).alias("boot_lo"),
+        F.percentile(value, 0.975).alias("boot_hi"),
+        F.count_if("abandoned").alias("boot_abandoned"),
+    )
 
 
 def neural_recovery(cells: DataFrame, steps: int = 400, polish: int = 100, events: float = 2000, per_decade: int = 200) -> DataFrame:

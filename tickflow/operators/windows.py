@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickflow.operators.streams import session_keys
+
 
 def rolling_windows(spark: SparkSession, start: float, end: float, length: float, stride: float) -> DataFrame:
     """k, t0, t1, t_mid of the windows that fit; the last may end exactly at ``end``."""
@@ -31,13 +35,28 @@ def assign(events: DataFrame, n: int, length: float, stride: float, before: floa
     return rows.withColumn("role", role)
 
 
+def pane_windows(rows: DataFrame, n: int, length: int, stride: int, before: int, after: int, values: dict[str, Column]) -> DataFrame:
+    """Aggregates of every window's history, fit and next, without a copy of any event.
+
+    Window edges lie on a grid of panes, as wide as the greatest common divisor of all spans.  Events are reduced by
+    pane, and only panes, one row each, are listed with their windows.  ``values`` are sums or counts; the result has
+    the session's columns, k, t0, ``role`` and the values.  Windows without a pane in a role have no row for it.
+    """
+    keys = session_keys(rows)
+    width = math.gcd(length, stride, before, after)
+    panes = rows.groupBy(*keys, (F.floor(F.col("t") / width) * width).cast("double").alias("t")).agg(*[v.alias(k) for k, v in values.items()])
+    listed = assign(panes, n, length, stride, before=before, after=after)
+    return listed.groupBy(*keys, "k", "t0", "role").agg(*[F.sum(c).alias(c) for c in values])
+
+
 def lag_pairs(events: DataFrame, support: float) -> DataFrame:
-    """(day, seq_i, seq_j, lag) with ``0 < lag < support``: an equi-join on time buckets, not a range join."""
+    """(session, seq_i, seq_j, lag) with ``0 < lag < support``: an equi-join on time buckets, not a range join."""
     bucket = F.floor(F.col("t") / support)
-    late = events.select("day", F.col("seq").alias("seq_i"), F.col("t").alias("t_i"), F.explode(F.array(bucket, bucket - 1)).alias("b"))
-    early = events.select("day", F.col("seq").alias("seq_j"), F.col("t").alias("t_j"), bucket.alias("b"))
-    rows = late.join(early, ["day", "b"]).withColumn("lag", F.col("t_i") - F.col("t_j"))
-    return rows.filter((F.col("lag") > 0) & (F.col("lag") < support)).select("day", "seq_i", "seq_j", "lag")
+    keys = session_keys(events)
+    late = events.select(*keys, F.col("seq").alias("seq_i"), F.col("t").alias("t_i"), F.explode(F.array(bucket, bucket - 1)).alias("b"))
+    early = events.select(*keys, F.col("seq").alias("seq_j"), F.col("t").alias("t_j"), bucket.alias("b"))
+    rows = late.join(early, [*keys, "b"]).withColumn("lag", F.col("t_i") - F.col("t_j"))
+    return rows.filter((F.col("lag") > 0) & (F.col("lag") < support)).select(*keys, "seq_i", "seq_j", "lag")
 
 
 def non_overlapping(table: DataFrame, keys: list[str]) -> DataFrame:

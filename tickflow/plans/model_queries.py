@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickflow.functions import columns as C
 from tickflow.functions import hawkes as H
 from tickflow.functions import simulate as S
+from tickflow.operators import concave as V
 from tickflow.operators import likelihood as L
 from tickflow.operators import model as M
 from tickflow.operators import streams as ST
@@ -20,6 +21,7 @@ from tickflow.operators import tables as T
 from tickflow.plans.registry import query, sql
 from tickflow.plans.table_queries import _r
 from tickflow.sources import tape as P
+from tickflow.sources.stage import staged
 
 MU, ALPHA, BETA = 0.002, 0.3, 1e-3
 UNIT = 1000.0
@@ -218,6 +220,67 @@ def array_functions(spark, sf):
     )
 
 
+# Fits by aggregates.
+
+SLOW = (1e-3, 1e-2)
+_LISTED = "range(3) AS r(k)"
+DESIGN = [
+    "s AS (SELECT i.seq, i.day, i.t, " + ", ".join(f"coalesce(sum(exp(-{b}::DOUBLE * (i.t - j.t))), 0e0) AS s{n}" for n, b in enumerate(SLOW))
+    + " FROM tape i LEFT JOIN tape j ON j.day = i.day AND j.t < i.t GROUP BY i.seq, i.day, i.t)",
+    f"own AS (SELECT s.*, k FROM s JOIN {_LISTED} ON t >= k * 21600 AND t < k * 21600 + 43200)",
+    f"came AS (SELECT d.day, k, " + ", ".join(f"coalesce(sum(exp(-{b}::DOUBLE * (k * 21600 - t))), 0e0) * (1 - exp(-{b}::DOUBLE * 43200)) AS h{n}" for n, b in enumerate(SLOW))
+    + f" FROM (SELECT DISTINCT day FROM tape) d CROSS JOIN {_LISTED} LEFT JOIN tape ON tape.day = d.day AND t < k * 21600 GROUP BY d.day, k)",
+    "tot AS (SELECT day, k, count(*) AS n, " + ", ".join(f"sum(1 - exp(-{b}::DOUBLE * (k * 21600 + 43200 - t))) + min(h{n}) AS c{n}" for n, b in enumerate(SLOW))
+    + " FROM own JOIN came USING (day, k) GROUP BY day, k)",
+    "des AS (SELECT day, k, n, 1 / 43200e0 AS y0, " + ", ".join(f"{b}::DOUBLE * s{n} / c{n} AS y{n + 1}" for n, b in enumerate(SLOW)) + " FROM own JOIN tot USING (day, k))",
+    "z0 AS (SELECT day, k, n, n / 3e0 AS a0, n / 3e0 AS a1, n / 3e0 AS a2 FROM tot)",
+]
+STEP = (
+    "z{m} AS (SELECT day, k, min(z{k}.n) AS n, " + ", ".join(f"min(a{j}) * sum(y{j} / (y0 * a0 + y1 * a1 + y2 * a2)) AS a{j}" for j in range(3))
+    + " FROM des JOIN z{k} USING (day, k) GROUP BY day, k)"
+)
+
+
+def _fixed_steps_sql(steps: int) -> str:
+    parts = [*DESIGN, *[STEP.format(k=k, m=k + 1) for k in range(steps)]]
+    value = f"SELECT day, k, n AS n_events, round(a0, 5) AS share_0, round(a1, 5) AS share_1, round(a2, 5) AS share_2 FROM z{steps}"
+    return sql("tape", body=", " + ", ".join(parts) + " " + value)
+
+
+def _three_windows(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    return V.window_design(_events(spark, sf), list(SLOW), 3, 43_200.0, 21_600.0)
+
+
+@query("monotone_steps", _fixed_steps_sql(4))
+def monotone_steps(spark, sf):
+    """Four multiplicative steps of the likelihood of a constant rate and two decays, all windows at once."""
+    design, totals = _three_windows(spark, sf)
+    design, totals = staged(design), staged(totals)
+    state = V.start(totals)
+    for _ in range(4):
+        state = V.multiplicative_step(design, state, 3)
+    return _r(state.select("day", "k", "n_events", *[F.col("share")[j].alias(f"share_{j}") for j in range(3)]), 5)
+
+
+@query(
+    "certified_fits",
+    sql("tape", body=", " + ", ".join(DESIGN) + " SELECT day, k, n AS n_events, true AS certified FROM z0"),
+)
+def certified_fits(spark, sf):
+    """Every window's fit ends with a certificate: no slope that is left is above one millionth."""
+    design, totals = _three_windows(spark, sf)
+    fits = V.fit_windows(staged(design), staged(totals), 3)
+    return fits.select("day", "k", "n_events", (F.col("certificate") < H.CERTIFICATE).alias("certified"))
+
+
+@query("fit_by_aggregates")
+def fit_by_aggregates(spark, sf):
+    """The fits themselves; tests hold them against those of the grouped function."""
+    design, totals = _three_windows(spark, sf)
+    fits = V.fit_windows(staged(design), staged(totals), 3)
+    return fits.select("day", "k", "n_events", F.col("theta")[0].alias("mu"), (F.col("theta")[1] + F.col("theta")[2]).alias("n"), F.col("value").alias("loglik"))
+
+
 # Fits.
 
 

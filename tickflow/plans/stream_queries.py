@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickflow.functions import columns as C
 from tickflow.operators import audit as A
+from tickflow.operators import scan
 from tickflow.operators import streams as S
 from tickflow.operators import windows as W
 from tickflow.plans.registry import query, sql
@@ -37,17 +38,32 @@ def ts_seconds(spark, sf):
     return _tape(spark, sf).select("seq", R6(C.seconds_of_day(F.col("ts_ns"), F.col("day"))).alias("t"))
 
 
-CLOCKS = [("2021-01-28", "14:00"), ("2021-03-14", "14:00"), ("2021-11-07", "09:30"), ("2021-07-01", "16:00")]
+#: Daylight time of New York on a date d, at two in the afternoon: from the second Sunday of March to the first of November.
+_MARCH = "(make_date(year(d), 3, 8) + CAST((7 - dayofweek(make_date(year(d), 3, 8))) % 7 AS INTEGER))"
+_NOVEMBER = "(make_date(year(d), 11, 1) + CAST((7 - dayofweek(make_date(year(d), 11, 1))) % 7 AS INTEGER))"
+DATES = (
+    "dates AS (SELECT DISTINCT d, strftime(d, '%Y-%m-%d') AS date, CASE WHEN h % 2 = 0 THEN '14:00' ELSE '09:30' END AS clock, CASE WHEN h % 2 = 0 THEN 50400 ELSE 34200 END AS s "
+    "FROM (SELECT CAST(make_timestamp(day * 86400000000) AS DATE) + CAST(k * 31 AS INTEGER) AS d, (day + k) % 2 AS h FROM tape, range(12) AS r(k)))"
+)
 
 
-@query(
-    "clock_to_seconds",
-    "SELECT * FROM (VALUES ('2021-01-28', '14:00', 50400::BIGINT, -5e0), ('2021-03-14', '14:00', 46800::BIGINT, -4e0), "
-    "('2021-11-07', '09:30', 37800::BIGINT, -5e0), ('2021-07-01', '16:00', 57600::BIGINT, -4e0)) AS v(date, clock, seconds, utc_offset)",
-)
+def _dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Each day of the tape and the days 31, 62, ... after it, so that both kinds of time occur, with a clock."""
+    rows = _tape(spark, sf).select("day").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    date = F.date_format(F.date_from_unix_date((F.col("day") + F.col("k") * 31).cast("int")), "yyyy-MM-dd")
+    clock = F.when((F.col("day") + F.col("k")) % 2 == 0, "14:00").otherwise("09:30")
+    return rows.select(date.alias("date"), clock.alias("clock")).distinct()
+
+
+@query("clock_to_seconds", sql("tape", body=f", {DATES} SELECT date, clock, CAST(s - CASE WHEN d = {_MARCH} THEN 3600 WHEN d = {_NOVEMBER} THEN -3600 ELSE 0 END AS BIGINT) AS seconds FROM dates"))
 def clock_to_seconds(spark, sf):
-    rows = spark.createDataFrame(CLOCKS, "date string, clock string")
-    return rows.select("date", "clock", C.clock_to_seconds(F.col("date"), F.col("clock")).alias("seconds"), C.utc_offset_hours(F.col("date"), "14:00").alias("utc_offset"))
+    """Seconds since midnight of New York, which has 23 or 25 hours on two days of the year."""
+    return _dates(spark, sf).select("date", "clock", C.clock_to_seconds(F.col("date"), F.col("clock")).alias("seconds"))
+
+
+@query("utc_offset", sql("tape", body=f", {DATES} SELECT DISTINCT date, CASE WHEN d >= {_MARCH} AND d < {_NOVEMBER} THEN -4e0 ELSE -5e0 END AS hours FROM dates"))
+def utc_offset(spark, sf):
+    return _dates(spark, sf).select("date", C.utc_offset_hours(F.col("date"), "14:00").alias("hours")).distinct()
 
 
 @query("seconds_to_clock", sql("tape", body="SELECT seq, strftime(make_timestamp((t * 1e6)::BIGINT), '%H:%M:%S') AS clock FROM tape"))
@@ -55,11 +71,6 @@ def seconds_to_clock(spark, sf):
     return _tape(spark, sf).select("seq", C.seconds_to_clock(F.col("t")).alias("clock"))
 
 
-@query("utc_offset", "SELECT * FROM (VALUES ('2021-01-28', -5e0), ('2021-03-14', -4e0), ('2021-11-07', -5e0), ('2021-07-01', -4e0)) AS v(date, hours)")
-def utc_offset(spark, sf):
-    return spark.createDataFrame(CLOCKS, "date string, clock string").select("date", C.utc_offset_hours(F.col("date"), "14:00").alias("hours"))
-
-
 @query("filter_trades", sql("tape", body="SELECT seq, ts_ns, size FROM tape WHERE action = 'T'"))
 def filter_trades(spark, sf):
     return _tape(spark, sf).filter("action = 'T'").select("seq", "ts_ns", "size")
@@ -106,9 +117,47 @@ def in_session(spark, sf):
     return _tape(spark, sf).groupBy("day").agg(inside.alias("inside"), F.count("*").alias("n"))
 
 
-@query("calendar_member", sql("tape", body="SELECT DISTINCT day, day IN (19724, 19731, 19745, 99999) AS member FROM tape"))
+CALENDAR = "calendar AS (SELECT day FROM tape WHERE action = 'A' AND t >= 50400 AND t < 54000 GROUP BY day)"
+
+
+@query("calendar_member", sql("tape", body=f", {CALENDAR} SELECT DISTINCT day, day IN (SELECT day FROM calendar) AS member FROM tape"))
 def calendar_member(spark, sf):
-    return _tape(spark, sf).select("day").distinct().withColumn("member", F.col("day").isin(19724, 19731, 19745, 99999))
+    """Days with an announcement, here a record of action A in the hour after two: the calendar is a table, and is joined."""
+    tape = _tape(spark, sf)
+    calendar = tape.filter(F.col("action") == "A").filter(C.between(F.col("t"), 50400, 54000)).select("day").distinct()
+    return tape.select("day").distinct().join(calendar.withColumn("listed", F.lit(True)), "day", "left").select("day", F.coalesce("listed", F.lit(False)).alias("member"))
+
+
+@query(
+    "asof_join",
+    sql("tape", "exe", body=", q AS (SELECT day, raw_ns, max(bid) AS bid FROM tape WHERE bid > 0 AND ask > 0 GROUP BY day, raw_ns) SELECT e.seq, q.bid FROM exe e ASOF LEFT JOIN q ON e.day = q.day AND e.raw_ns >= q.raw_ns"),
+)
+def asof_join(spark, sf):
+    """The last valid bid at or before each execution."""
+    tape = _tape(spark, sf)
+    quotes = tape.filter(C.valid_quote(F.col("bid"), F.col("ask"))).select("day", "raw_ns", "bid")
+    return scan.asof(S.executions(tape).select("day", "raw_ns", "seq"), quotes, ["day"], "raw_ns", "bid").select("seq", "bid")
+
+
+@query(
+    "asof_interp",
+    sql(
+        "tape", "exe",
+        body=", q AS (SELECT day, t, max(bid) AS bid FROM tape WHERE bid > 0 AND ask > 0 GROUP BY day, t) SELECT e.seq, round(a.bid + (b.bid - a.bid) * ((e.t - a.t) / (b.t - a.t)), 3) AS bid "
+        "FROM exe e ASOF JOIN q a ON e.day = a.day AND e.t >= a.t ASOF JOIN q b ON e.day = b.day AND e.t < b.t",
+    ),
+)
+def asof_interp(spark, sf):
+    """The bid between the quotes before and after each execution, linear in time, where there are both."""
+    tape = _tape(spark, sf)
+    quotes = tape.filter(C.valid_quote(F.col("bid"), F.col("ask"))).groupBy("day", "t").agg(F.max("bid").alias("bid"))
+    knots = quotes.select("day", "t", F.struct("t", "bid").alias("a"))
+    rows = scan.asof(S.executions(tape).select("day", "t", "seq"), knots, ["day"], "t", "a")
+    # The quote after is the quote before in reversed time; one at the same time is not after.
+    back = scan.asof(rows.withColumn("t", -F.col("t")), quotes.select("day", (-F.col("t")).alias("t"), F.struct("t", "bid").alias("b")), ["day"], "t", "b", strict=True)
+    t = -F.col("t")
+    bid = F.col("a.bid") + (F.col("b.bid") - F.col("a.bid")) * ((t - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
+    return back.filter("a IS NOT NULL AND b IS NOT NULL").select("seq", F.round(bid, 3).alias("bid"))
 
 
 @query(
@@ -199,9 +248,9 @@ WINDOWED = (
 
 @query("window_assign", sql("tape", body=WINDOWED))
 def window_assign(spark, sf):
-    rows = W.assign(_tape(spark, sf), 23, 7200, 3600, before=3600, after=7200)
-    count = lambda role: F.count_if(F.col("role") == role).alias(role)
-    return rows.groupBy("day", "k", "t0").agg(count("fit"), count("history"), count("next"))
+    rows = W.pane_windows(_tape(spark, sf), 23, 7200, 3600, 3600, 7200, {"n": F.count("*")})
+    of = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(role)
+    return rows.groupBy("day", "k", "t0").agg(of("fit"), of("history"), of("next"))
 
 
 @query(
@@ -217,8 +266,8 @@ def window_assign(spark, sf):
 def heldout_next(spark, sf):
     tape = _tape(spark, sf)
     last = tape.groupBy("day").agg(F.max("t").alias("last_t"))
-    rows = W.assign(tape, 23, 7200, 3600, after=7200).filter("role = 'next'").groupBy("day", "k", "t1").agg(F.count("*").alias("heldout_n_events"))
-    kept = rows.join(last, "day").filter(F.col("t1") + 7200 <= F.least("last_t", F.lit(86400.0)))
+    rows = W.pane_windows(tape, 23, 7200, 3600, 0, 7200, {"heldout_n_events": F.count("*")}).filter("role = 'next'")
+    kept = rows.join(last, "day").filter(F.col("t0") + 14400 <= F.least("last_t", F.lit(86400.0)))
     return kept.select("day", "k", "heldout_n_events")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from tickflow.functions import columns as C
 from tickflow.operators import inference as I
@@ -11,6 +12,7 @@ from tickflow.operators import tables as T
 from tickflow.operators import windows as W
 from tickflow.plans.registry import query, sql
 from tickflow.sources import tape as P
+from tickflow.sources.stage import staging
 
 MODELS = ["click", "error", "purchase", "signup", "view"]
 
@@ -90,10 +92,16 @@ def fuzzy_lookup(spark, sf):
     return _metric(spark, sf).filter(F.abs(F.col("t_mid") - 43200.0000001) < 1e-3).select("model", "day", "k")
 
 
-@query("scan_results", sql("tape", "metric", body="SELECT model || '_w21600' AS source, count(*) AS n FROM metric GROUP BY model"))
+@query("scan_results", sql("tape", "metric", body="SELECT model || '_w21600' AS source, count(*) AS n, sum(n_events)::BIGINT AS events FROM metric GROUP BY model"))
 def scan_results(spark, sf):
-    rows = _metric(spark, sf).withColumn("file", F.concat("model", F.lit("_w21600.csv")))
-    return rows.groupBy(F.regexp_extract("file", r"^(.*)\.[^.]+$", 1).alias("source")).agg(F.count("*").alias("n"))
+    """Result files of each model, written as CSV and read back, each row tagged with its file."""
+    table = _metric(spark, sf).select("model", "day", "k", "n_events", "est")
+    where = staging(spark)
+    schema = T_.StructType([f for f in table.schema if f.name != "model"])
+    for model in ("click", "error", "purchase", "signup", "view"):
+        P.write_csv(table.filter(F.col("model") == model).drop("model"), f"{where}/{model}_w21600")
+    rows = P.read_results(spark, f"{where}/*_w21600", schema)
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_events").alias("events"))
 
 
 # Joins and set operations.
@@ -311,10 +319,10 @@ def welch(spark, sf):
     return rows.select("model", "comparison", F.round("diff", 6).alias("diff"), F.round("welch_t", 5).alias("welch_t"), F.round("welch_df", 4).alias("welch_df"))
 
 
-@query("perm_floor", "SELECT nx, ny, round(2e0 / (exp(lgamma(nx + ny + 1) - lgamma(nx + 1) - lgamma(ny + 1))), 6) AS floor FROM (SELECT x.nx, y.ny FROM range(2, 8) x(nx), range(2, 12) y(ny))")
+@query("perm_floor", _stats_sql("SELECT model, comparison, wa AS windows_a, wb AS windows_b, round(2e0 / exp(lgamma(wa + wb + 1) - lgamma(wa + 1) - lgamma(wb + 1)), 6) AS floor FROM both_sides"))
 def perm_floor(spark, sf):
-    rows = spark.range(2, 8).withColumnRenamed("id", "windows_a").crossJoin(spark.range(2, 12).withColumnRenamed("id", "windows_b"))
-    return I.perm_floor(rows).select(F.col("windows_a").alias("nx"), F.col("windows_b").alias("ny"), F.round("perm_p_floor", 6).alias("floor"))
+    rows = I.perm_floor(I.paired(spark, I.period_stats(_period(spark, sf))))
+    return rows.select("model", "comparison", "windows_a", "windows_b", F.round("perm_p_floor", 6).alias("floor"))
 
 
 @query(
@@ -388,10 +396,18 @@ def sign_set(spark, sf):
     return I.sign_sets(I.sign_table(rows))
 
 
-@query("underpowered", "SELECT 'few' AS comparison, 3::BIGINT AS windows_a, 3::BIGINT AS windows_b")
+@query(
+    "underpowered",
+    sql(
+        "tape", "metric", "period", "pairs",
+        body=f", period1 AS (SELECT * FROM period WHERE day % 10 = 0 AND k % 2 = 0), {STATS.replace('FROM period', 'FROM period1')}, {JOINED} "
+        "SELECT DISTINCT comparison, wa AS windows_a, wb AS windows_b FROM both_sides WHERE 2e0 / exp(lgamma(wa + wb + 1) - lgamma(wa + 1) - lgamma(wb + 1)) > 0.05",
+    ),
+)
 def underpowered(spark, sf):
-    tests = spark.createDataFrame([("few", 3, 3), ("few", 3, 3), ("many", 3, 23)], "comparison string, windows_a long, windows_b long")
-    return I.underpowered(I.perm_floor(tests))
+    """Comparisons that no permutation can call significant: here those of one day in ten, in windows that do not overlap."""
+    few = _period(spark, sf).filter("day % 10 = 0 AND k % 2 = 0")
+    return I.underpowered(I.perm_floor(I.paired(spark, I.period_stats(few)))).select("comparison", "windows_a", "windows_b")
 
 
 @query("compare")
@@ -403,3 +419,25 @@ def compare(spark, sf):
 def perm_test(spark, sf):
     table = W.non_overlapping(_period(spark, sf), ["model", "day"])
     return I.period_tests(spark, table).select("model", "comparison", "windows_a", "windows_b", "perm_p", "perm_p_floor")
+
+
+@query(
+    "perm_test_exact",
+    sql(
+        "tape", "metric", "period", "pairs",
+        body=", few AS (SELECT * FROM period WHERE day % 10 = 0 AND k % 2 = 0), "
+        "sides AS (SELECT e.model, p.a, p.b, list(est ORDER BY e.period <> p.a, day, k) AS x, count(*) FILTER (e.period = p.a) AS na, count(*) FILTER (e.period = p.b) AS nb "
+        "FROM few e JOIN pairs p ON e.period IN (p.a, p.b) GROUP BY e.model, p.a, p.b HAVING count(*) FILTER (e.period = p.a) >= 2 AND count(*) FILTER (e.period = p.b) >= 2), "
+        "splits AS (SELECT model, a, b, x, na, nb, unnest(range(CAST(power(2, na + nb) AS BIGINT))) AS m FROM sides), "
+        "sums AS (SELECT model, a, b, na, nb, m, list_sum(x) AS total, list_sum(list_transform(range(na + nb), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN x[i + 1] ELSE 0e0 END)) AS s "
+        "FROM splits WHERE bit_count(m) = na), "
+        "gaps AS (SELECT model, a, b, na, nb, abs(s / na - (total - s) / nb) AS gap, m = CAST(power(2, na) AS BIGINT) - 1 AS own FROM sums) "
+        "SELECT model, a || ' - ' || b AS comparison, na AS windows_a, nb AS windows_b, round(avg((gap >= o - 1e-12)::INT), 6) AS perm_p "
+        "FROM (SELECT *, max(gap) FILTER (own) OVER (PARTITION BY model, a, b) AS o FROM gaps) GROUP BY model, a, b, na, nb",
+    ),
+)
+def perm_test_exact(spark, sf):
+    """All splits of the windows of one day in ten that do not overlap; up to 200,000 splits are listed."""
+    few = _period(spark, sf).filter("day % 10 = 0 AND k % 2 = 0")
+    rows = I.period_tests(spark, few, exact_up_to=200_000)
+    return rows.select("model", "comparison", "windows_a", "windows_b", F.round("perm_p", 6).alias("perm_p"))

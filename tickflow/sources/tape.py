@@ -104,14 +104,26 @@ def table_text(df: DataFrame, digits: int = 4, rows: int = 100) -> str:
     return df.select(*cols).limit(rows).toPandas().to_string(index=False)
 
 
-def resume(jobs: DataFrame, path: str, keys: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs the jobs that have no row in the results at ``path`` and appends theirs; all results."""
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def resume(jobs: DataFrame, path: str, keys: list[str], run: Callable[[DataFrame], DataFrame], wave: int = 64) -> DataFrame:
+    """Runs the jobs that have no row in the results at ``path``, about ``wave`` at a time; all results.
+
+    A wave's rows are committed before the next begins, so a run that is killed loses one wave at most, and the next
+    run takes up the jobs that are left.  Which wave a job is in follows from its keys; a wave that has been cut
+    short is told by the rows that it has left, job by job.
+    """
     spark = jobs.sparkSession
     todo = jobs
-    try:
+    if exists(spark, path):
         todo = jobs.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    except Exception as error:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    run(todo).write.mode("append").parquet(path)
+    waves = -(-todo.select(*keys).distinct().count() // wave)
+    for k in range(waves):
+        part = todo.filter(F.pmod(F.xxhash64(*keys), F.lit(waves)) == k)
+        run(part).write.mode("append").parquet(path)
+    if not waves and not exists(spark, path):
+        run(todo).write.parquet(path)
     return spark.read.parquet(path)
