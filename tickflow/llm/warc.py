@@ -173,7 +173,8 @@ def write_warc(
     # Only ids and digests are shuffled to find the copies; payloads move once, to their range.
     light = keyed.groupBy("page_id", "sha1").agg(F.min("size").alias("size"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
     light = written(light)
-    bounds = pages.sparkSession.sparkContext.broadcast(_ranges(light, shard_bytes, min_shards, 50, sample_rows))
+    cuts = _ranges(light, shard_bytes, min_shards, 50, sample_rows)
+    bounds = pages.sparkSession.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("long")
     def range_of(ids: pd.Series, heads: pd.Series) -> pd.Series:
@@ -187,8 +188,8 @@ def write_warc(
     none = F.lit(None).cast("string")
     copies = copies.select(shard, "page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "sha1", "response")
     payloads = keyed.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", "sha1", F.lit(None).cast("long").alias("response"))
-    # A range is whole in one task; a copy's row comes before those of its page and payload.
-    ranged = payloads.union(copies).repartition("shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
+    # Each range is a partition of its own; a copy's row comes before those of its page and payload.
+    ranged = payloads.union(copies).repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done, shard, roll = _Roller(where, max_file_bytes), [], None, 0
