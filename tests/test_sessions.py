@@ -124,7 +124,8 @@ def test_faded_sums(long_day, beta):
         state = np.exp(-beta * gap) * (state + 1)
         s.append(state)
     got = L.decay_sum(stream, beta).orderBy("t").collect()
-    assert np.allclose([r.s for r in got], s, rtol=1e-8, atol=1e-12) and [r.i for r in got] == list(range(len(t)))
+    # Seconds of a day are held to about 1e-11, and a block's start is rounded to that: the exponent is off by beta times it.
+    assert np.allclose([r.s for r in got], s, rtol=max(1e-8, 3e-11 * beta), atol=1e-12) and [r.i for r in got] == list(range(len(t)))
 
 
 def test_one_session_uses_many_tasks(spark, long_day):
