@@ -1,10 +1,11 @@
 """Quality rules and a log-likelihood ratio of hashed n-grams.
 
 Word unigrams and bigrams are hashed to a fixed number of buckets.  Their counts
-over trusted documents (a bounded sample of rows labelled good) and over the raw
-corpus (every document) give two multinomials; a document's score is the sum of
-its n-grams' log ratios divided by their number.  Documents below a threshold are
-rejected; the threshold is the one that parts the labelled sample best.
+over trusted documents (every row labelled good) and over the raw corpus (every
+document) give two multinomials; a document's score is the sum of its n-grams' log
+ratios divided by their number.  Documents below a threshold are rejected; the
+threshold is the one that parts all labelled rows best, found by sums over ranges
+of the scores.
 
 Each task adds up its own buckets before the shuffle, so no n-gram is hot.
 
@@ -14,6 +15,7 @@ Defined results for odd input
 * a text without n-grams scores 0;
 * repeated rows and ids are judged each; an empty table gives no rows;
 * without trusted rows the ratio is 0 everywhere and only the base rules decide;
+* an id with labels of both classes is not trusted, and counts as rejected;
 * further columns are ignored.
 """
 
@@ -24,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickflow.llm.shared import chunks
+from tickflow.llm.packing import packed_texts, unpack_bytes
+from tickflow.llm.shared import chunks, written
 from tickflow.llm.words import SPACE, Texts, grams, mix
 
 CHUNK = 1 << 21
@@ -37,12 +40,10 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows of each class that the model is fitted on."""
-
     buckets: int = 1 << 17
-    sample: int = 10_000
     smoothing: float = 1.0
-    seed: int = 3
+    #: Ranges of the scores in which the threshold is searched apart.
+    ranges: int = 256
 
 
 def _buckets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def _buckets(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.concatenate([single, mix(pairs + np.uint64(2)) % np.uint64(n)]).astype(np.int64), np.concatenate([owner, owner[at]])
 
 
-def _hashed(texts: list[str | None]):
+def _hashed(texts: list[str | bytes | None]):
     t = Texts.of(texts)
     sums = t.sums()
     starts, ends, owner = t.words()
@@ -92,26 +93,22 @@ def rules(texts: list[str | None], hashed=None) -> dict[str, np.ndarray]:
     }
 
 
-def count_buckets(docs: DataFrame, flag: str, s: Settings) -> np.ndarray:
-    """(2, buckets): n-grams of all rows, and of those whose ``flag`` is set."""
+def count_buckets(texts: DataFrame, packed: bool, s: Settings) -> np.ndarray:
+    """N-grams of each bucket over all rows of ``texts``, one column of texts or of packed ones."""
+    name = texts.columns[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(s.buckets, np.int64), np.zeros(s.buckets, np.int64)
-        for batch in chunks(batches, "text", CHUNK):
-            *_, owner, hashes = _hashed(batch.column(0).to_pylist())
-            bucket, of = _buckets(hashes, owner, s.buckets)
-            raw += np.bincount(bucket, minlength=s.buckets)
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            if trusted.any():
-                target += np.bincount(bucket[trusted[of]], minlength=s.buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
-
-    parts = docs.select("text", F.coalesce(flag, F.lit(False)).alias("flag")).mapInArrow(count, "bucket long, raw long, target long")
-    sums = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    out = np.zeros((2, s.buckets))
-    table = sums.toArrow()  # a row per bucket at most
-    out[:, table.column("bucket").to_numpy()] = [table.column("raw").to_numpy(), table.column("target").to_numpy()]
+        total = np.zeros(s.buckets, np.int64)
+        for batch in chunks(batches, name, CHUNK // 4 if packed else CHUNK):
+            column = batch.column(0)
+            *_, owner, hashes = _hashed(unpack_bytes(column) if packed else column.to_pylist())
+            total += np.bincount(_buckets(hashes, owner, s.buckets)[0], minlength=s.buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    table = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row per bucket at most
+    out = np.zeros(s.buckets)
+    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return out
 
 
@@ -128,47 +125,52 @@ def scores(hashed, n: int, ratio: np.ndarray, s: Settings) -> np.ndarray:
     return np.bincount(of, ratio[bucket], minlength=n) / np.maximum(1, np.bincount(of, minlength=n))
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the least sum of both classes' error rates; the lowest of equals."""
-    if not len(good) or not len(bad):
+def best_threshold(rows: DataFrame, s: Settings = Settings()) -> float:
+    """The cut of ``rows`` (score, good) with the least sum of both classes' error rates; the lowest of equals.
+
+    Equal scores are one row.  Ranges of about equal numbers of scores are summed, then searched apart.
+    """
+    sums = [F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")]
+    values = written(rows.groupBy("score").agg(*sums))
+    # These bounds only deal the work: any others give the same cut.
+    bounds = values.agg(F.percentile_approx("score", [k / s.ranges for k in range(1, s.ranges)], 10 * s.ranges)).first()[0]
+    bounds = np.unique(np.array(bounds or [], float))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(bounds, batch.column(0).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *batch.columns], ["range", "score", "good", "bad"])
+
+    dealt = values.mapInArrow(deal, "range long, score double, good long, bad long")
+    table = dealt.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("range").toArrow()  # a row per range
+    n_good, n_bad = (sum(table.column(c).to_pylist()) for c in ("good", "bad"))
+    if not n_good or not n_bad:
         return -np.inf
-    cuts = np.unique(np.concatenate([good, bad]))
-    errors = np.searchsorted(np.sort(good), cuts) / len(good) + 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    k = int(np.argmin(errors))
-    return float(cuts[k] if k == 0 else (cuts[k - 1] + cuts[k]) / 2)
+    before = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
 
+    def below(kind: str):
+        """Rows of a class under each score: those of lower ranges and those of its own."""
+        totals = np.zeros(len(bounds) + 1, np.int64)
+        totals[table.column("range").to_numpy()] = table.column(kind).to_numpy()
+        starts = F.array(*[F.lit(x) for x in (np.cumsum(totals) - totals).tolist()]).cast("array<bigint>")
+        return F.element_at(starts, F.col("range").cast("int") + 1) + F.coalesce(F.sum(kind).over(before), F.lit(0))
 
-def labelled_sample(labels: DataFrame, s: Settings) -> DataFrame:
-    """Up to ``s.sample`` rows of each class by hash, and so of bounded size."""
-    order = F.md5(F.concat_ws(":", F.lit(str(s.seed)), F.col("doc_id").cast("string")))
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
-    known = known.select("doc_id", (F.col("quality") > 0).alias("good")).withColumn("order", order)
-    part = [known.filter(F.col("good") == g).orderBy("order", "doc_id").limit(s.sample) for g in (True, False)]
-    return part[0].union(part[1]).groupBy("doc_id").agg(F.bool_and("good").alias("good"))
+    error = (below("good") * n_bad - below("bad") * n_good).alias("error")
+    cut = dealt.select(error, "score").agg(F.min(F.struct("error", "score")).alias("least")).first()[0]["score"]
+    under = values.filter(F.col("score") < cut).agg(F.max("score")).first()[0]
+    return float(cut if under is None else (under + cut) / 2)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = labelled_sample(labels, s)
-    flagged = docs.join(F.broadcast(sample), "doc_id", "left")
-    ratio = log_ratio(count_buckets(flagged.select("text", F.col("good").alias("flag")), "flag", s), s)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", CHUNK):
-            texts = batch.column(0).to_pylist()
-            hashed = _hashed(texts)
-            base = rules(texts, hashed)
-            failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-            got = pa.array(scores(hashed, len(texts), ratio, s))
-            yield pa.RecordBatch.from_arrays([batch.column(1), got, pa.array(failed)], ["good", "score", "failed"])
-
-    # Only documents that pass the base rules place the threshold.
-    known = docs.join(F.broadcast(sample), "doc_id").select("text", "good")
-    seen = known.mapInArrow(score, "good boolean, score double, failed boolean").filter("NOT failed").toArrow()
-    good = seen.column("good").to_numpy(zero_copy_only=False).astype(bool)
-    value = seen.column("score").to_numpy()
-    threshold = best_threshold(value[good], value[~good])
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_and(F.col("quality") > 0).alias("good"))
+    # Merged at any size: the labels grow with the corpus.
+    good = known.filter("good").select(F.col("doc_id").alias("id")).hint("merge")
+    trusted = packed_texts(docs.filter("doc_id IS NOT NULL")).join(good, "id").select("packed")
+    counts = np.stack([count_buckets(docs.select("text"), False, s), count_buckets(trusted, True, s)])
+    ratio = log_ratio(counts, s)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -176,12 +178,16 @@ def judge_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()
             hashed = _hashed(texts)
             base = rules(texts, hashed)
             failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-            got = scores(hashed, len(texts), ratio, s)
-            arrays = [batch.column(0), *map(pa.array, base.values()), pa.array(failed), pa.array(got), pa.array(~failed & (got >= threshold))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *base, "base_failed", "score", "kept"])
-
-    return docs.mapInArrow(
-        judge,
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-        " base_failed boolean, score double, kept boolean",
+            arrays = [batch.column(0), *map(pa.array, base.values()), pa.array(failed), pa.array(scores(hashed, len(texts), ratio, s))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *base, "base_failed", "score"])
+
+    judged = written(
+        docs.mapInArrow(
+            judge,
+            "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
+            " base_failed boolean, score double",
+        )
     )
+    # Only documents that pass the base rules place the threshold.
+    threshold = best_threshold(judged.filter("NOT base_failed").join(known, "doc_id").select("score", "good"), s)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
