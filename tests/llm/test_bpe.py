@@ -60,3 +60,34 @@ def test_decode_join(spark):
     ids = TOKENIZER.encode(ODD, add_special_tokens=False).ids
     frame = spark.createDataFrame([(1, ids), (2, [])], "doc_id long, ids array<int>")
     assert sorted(map(tuple, bpe.decode_ids(frame, PATH).collect())) == [(1, ODD), (2, "")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text() | st.text("a's \n\t \x1c\x85é1½²Ⅷ一٣!\U0001d7d8\U0001f600\U00020000", max_size=40))
+def test_first_plane_splits_as_the_pattern(text):
+    """Texts of the first plane are split by classes written out; every code point of it is in the same class."""
+    voc = bpe.vocabulary(PATH)
+    assert voc.find(text) == voc._find(text)
+    if max(text, default="") <= "￿":
+        assert voc._plane_find(text) == voc._find(text)
+
+
+def test_first_plane_classes():
+    voc = bpe.vocabulary(PATH)
+    every = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    for around in ("a{}a", "1{}1", "!{}!", "  {}  "):
+        text = "\n".join(around.format(c) for c in every)
+        assert voc._plane_find(text) == voc._find(text)
+
+
+def test_ids_travel_without_words():
+    """What a block gets back is the ids of its words, in an order that follows from the words."""
+    words = [f" word{i}" for i in range(500)] + ["\U0001f600", " ", "é"]
+    ids = bpe.vocabulary(PATH).encode(words)
+    sizes, every = bpe.unpack_ids(bpe.pack_ids(ids))
+    assert sizes.tolist() == [len(i) // 4 for i in ids] and every.tobytes() == b"".join(ids)
+    sizes, every = bpe.unpack_ids(bpe.pack_ids([(1 << 20).to_bytes(4, "little"), b""]))
+    assert sizes.tolist() == [1, 0] and every.tolist() == [1 << 20]
+    parts = bpe.dealt_words(set(words), 7)
+    assert parts == bpe.dealt_words(words[::-1], 7) and sorted(w for p in parts for w in p) == sorted(words)
+    assert all(bpe.body_words(bpe.words_body(p)) == p for p in parts)
