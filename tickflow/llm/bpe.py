@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.llm.packing import blocks, packed_blocks
+from tickflow.llm.shared import give_back, released
 
 #: The byte-level pattern, with white space as Unicode defines it.
 PATTERN = (
@@ -204,6 +205,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     # Words are dealt by hash to more parts than the shuffle has tasks; equal words share a part.
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @released
     def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for block, _, texts in blocks(batches):
@@ -218,6 +220,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     arrays = [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([packed], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, ["part", "block", "packed"])
 
+    @released
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by part: each distinct word of a part is encoded once, and each block gets the ids of its own words."""
         voc, at, known = vocabulary(path), None, {}
@@ -234,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "part", "digest", "packed"])
         voc.close()
 
-    def join_back(docs: pa.Table, coded: pa.Table) -> pa.Table:
+    def put_together(docs: pa.Table, coded: pa.Table) -> pa.Table:
         """A block's words have numbers; the ids of a text are gathered by the numbers of its words, its pieces by its ids."""
         voc, number, own = vocabulary(path), Numbers(), []
         unpack = zstandard.ZstdDecompressor().decompress
@@ -275,6 +278,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             }
         )
 
+    def join_back(docs: pa.Table, coded: pa.Table) -> pa.Table:
+        try:
+            return put_together(docs, coded)
+        finally:
+            give_back()
+
     words = texts.mapInArrow(list_words, "part long, block long, packed binary").repartition("part").sortWithinPartitions("part")
     coded = words.mapInArrow(encode_words, "block long, part long, digest long, packed binary")
     return packed_blocks(docs).groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ENCODED)

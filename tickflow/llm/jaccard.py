@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tickflow.llm.components import components
 from tickflow.llm.packing import packed_texts, unpack_texts
-from tickflow.llm.shared import aside, chunks, written
+from tickflow.llm.shared import aside, chunks, released, written
 from tickflow.llm.words import Texts, grams, mix
 
 CHUNK = 1 << 21
@@ -148,6 +148,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _classes(docs: DataFrame, s: Settings) -> DataFrame:
+    @released
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
             sets = shingle_sets(batch.column(1).to_pylist(), s)
@@ -168,6 +169,7 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
 def _shared_keys(docs: DataFrame, s: Settings) -> DataFrame:
     """(key, cls, pivot) of the keys that more than one class has."""
 
+    @released
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(s)
         for batch in chunks(batches, "text", CHUNK):
@@ -183,6 +185,7 @@ def _shared_keys(docs: DataFrame, s: Settings) -> DataFrame:
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls))], ["key", "cls"]
                 )
 
+    @released
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows: drops keys of one class; holds one batch, and the last row of the one before."""
         last: tuple[int, int] | None = None  # the last row
@@ -226,6 +229,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     first = (F.col("cls") != F.col("pivot")).alias("rest")
     rows = rows.select("pivot", "salt", first, "cls", "shingles").repartition("pivot", "salt")
 
+    @released
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, base = None, None
         for batch in batches:
@@ -248,6 +252,7 @@ def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     other = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("against"))
     rows = pairs.join(one, "cls").join(other, "pivot").select("cls", "pivot", "n", "m", "sketch", "against")
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
@@ -261,6 +266,7 @@ def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 def _sets(docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     """(cls, n, sketch, shingles) of the documents that stand for the classes ``reps`` (doc_id, cls)."""
 
+    @released
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "packed", CHUNK // 4):
             wanted = batch.column(0).to_pylist()
@@ -283,6 +289,7 @@ def _across(rows: DataFrame, s: Settings, pace: int) -> DataFrame:
     rest in later rounds.  ``failed`` lists partners of a class that are known not to be linked.
     """
 
+    @released
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key in _runs(batches):
             root, cls, n = (key.column(k).to_numpy(zero_copy_only=False).copy() for k in (1, 2, 3))

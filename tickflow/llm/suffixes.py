@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickflow.llm.packing import unpack_bytes
-from tickflow.llm.shared import aside, chunks, written
+from tickflow.llm.shared import aside, chunks, released, written
 from tickflow.llm.words import Texts, mix
 
 LENGTH = 200
@@ -185,6 +185,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
+    @released
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
             texts = batch.column(1).to_pylist()
@@ -209,6 +210,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     schema = T.StructType([*docs.select(*others).schema.fields, T.StructField("__rid", T.LongType()), T.StructField("__packed", T.BinaryType())])
 
+    @released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in chunks(batches, "__text"):
@@ -223,6 +225,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _hull_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (key, rid, lo, hi, single, many) with the bytes of each hull."""
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "packed", 1 << 20):
             rows = []
@@ -241,6 +244,7 @@ def _hull_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _refined_spans(hulls: DataFrame) -> DataFrame:
     """Spans (rid, start, end) from blocks of whole anchors."""
 
+    @released
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -271,6 +275,7 @@ def _refined_spans(hulls: DataFrame) -> DataFrame:
 def _counted_spans(hulls: DataFrame) -> DataFrame:
     """Spans of anchors with many hulls: identifiers of all starts, counted."""
 
+    @released
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "hull", 1 << 19):
             sizes = np.array([len(h) for h in batch.column(3).to_pylist()])
@@ -332,6 +337,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*docs.select(*others).schema.fields, *new.fields])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    @released
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__packed", 1 << 21):
             rows = []

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.shared import chunks
+from tickflow.llm.shared import chunks, released
 
 WORDS = regex.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -331,6 +331,7 @@ def score_documents(docs: DataFrame, model: tuple[Network | None, float], carry:
     sent = [*carry, *([] if text in carry else [text])]
     at = sent.index(text)
 
+    @released
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net, shift)
         for batch in chunks(batches, text, 1 << 20):
