@@ -1,6 +1,7 @@
 import numpy as np
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 from tickflow.llm import queries, suffixes
@@ -85,3 +86,31 @@ def test_clashing_columns(spark):
     assert out.columns == ["doc_id", "a", "rid", "start", "end", "key", "hull", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), r.rid - r.a) for r in out.collect())
     assert got == [(1, 261, 260, b"x", 1), (2, 261, 261, b"", 1), (2, 261, 261, b"", 1), (3, 5, 0, b"alone", 1)]
+
+
+def test_a_block_of_hulls_takes_little_memory():
+    """The arrays of a full block, with one anchor of many hulls at its end, leave room for another task and the JVM."""
+    draw = np.random.default_rng(5)
+    passage = draw.integers(0, 256, 336, np.uint8).tobytes()
+    n = (suffixes.BLOCK_BYTES + suffixes.BLOCK_HULLS * 168) // 336
+    pieces = [passage[:k] + b"!" + passage[k + 1 :] for k in draw.integers(0, 336, n).tolist()]
+    tracemalloc.start()
+    try:
+        flags = suffixes.repeated_starts(pieces)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(flags) == n and all(len(f) == 137 for f in flags)
+    assert peak < 140 << 20
+
+
+def test_text_takes_one_python_function_after_the_last_shuffle(spark):
+    """Cut characters go, replacement characters of the text stay, and no further function runs beside the cutting one."""
+    passage = "".join(chr(0x400 + k * k % 97) for k in range(130))
+    rows = [(1, "\ufffdé" + passage + "x", 133), (2, "\ufffdĩ" + passage + "y", 133), (3, "\ufffd", 1)]  # é and ĩ end alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = suffixes.keep_text(docs)
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got == {1: ("\ufffdx", 2), 2: ("\ufffdy", 2), 3: ("\ufffd", 1)}
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan

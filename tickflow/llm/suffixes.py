@@ -49,8 +49,8 @@ from tickflow.llm.words import Texts, mix
 LENGTH = 200
 GRAM = 64
 CHUNK = 1 << 19
-#: Bytes of hulls in a block, and hulls of an anchor that may share one.
-BLOCK_BYTES = 1 << 21
+#: Bytes of hulls in a block, each of which takes about 125 bytes while it is sorted, and hulls of an anchor that may share one.
+BLOCK_BYTES = 1 << 19
 BLOCK_HULLS = 2000
 #: Identifiers are compared without these bits, in which positions stand meanwhile: an anchor depends on its string alone.
 LOW = np.uint64((1 << 24) - 1)
@@ -321,10 +321,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return done.union(_refined_spans(hulls)).union(_counted_spans(hulls))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, characters: bool = False) -> DataFrame:
     """The columns of ``docs`` but the text, with n_bytes, n_removed, n_spans, spans and kept (binary).
 
-    A further column of ``docs`` with the name of one of these gives way to it.
+    A further column of ``docs`` with the name of one of these gives way to it.  With ``characters``, bytes of
+    cut characters are gone from ``kept`` too; they do not count as removed.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     added = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary"
@@ -354,7 +355,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                     at = b
                 kept.append(raw[at:])
                 body = b"".join(kept)
-                rows.append((len(raw), len(raw) - len(body), len(merged), [{"start": a, "end": b} for a, b in merged], body))
+                removed = len(raw) - len(body)
+                if characters and removed:
+                    body = body.decode("utf-8", "ignore").encode()
+                rows.append((len(raw), removed, len(merged), [{"start": a, "end": b} for a, b in merged], body))
             kinds = [pa.int64(), pa.int64(), pa.int64(), span_type, pa.binary()]
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], [f.name for f in schema.fields])
@@ -366,15 +370,9 @@ def keep_text(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes gone from ``text``; bytes of a cut character go too, ``n_chars`` follows."""
     moved, back = aside(docs, "doc_id", "text")
     at = dict(zip(docs.columns, moved.columns, strict=False))
-    kept, whole = F.col("kept"), F.col("n_removed") == 0
-    out = deduplicate(moved.drop(at["text"]))
-    out = out.withColumn(at["text"], F.when(whole, F.decode(kept, "UTF-8")).otherwise(_valid_text(kept)))
+    # Characters are made whole by the task that cuts: a Python function after it would be a second worker for each task.
+    out = deduplicate(moved.drop(at["text"]), characters=True).withColumn(at["text"], F.decode("kept", "UTF-8"))
     if "n_chars" in at:
-        n = F.when(whole, F.col(at["n_chars"])).otherwise(F.char_length(at["text"]))
+        n = F.when(F.col("n_removed") == 0, F.col(at["n_chars"])).otherwise(F.char_length(at["text"]))
         out = out.withColumn(at["n_chars"], n.cast(docs.schema["n_chars"].dataType))
     return out.select(*back)
-
-
-@F.pandas_udf(T.StringType())
-def _valid_text(kept):  # noqa: ANN001, ANN202
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
