@@ -102,3 +102,40 @@ def test_all_links_are_counted(spark, monkeypatch, band):
     want = sorted((i, len({frozenset(b) for b in sets if linked(a, b)})) for (i, _), a in zip(rows, sets, strict=True))
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_links")
     assert sorted(map(tuple, got.collect())) == want and max(n for _, n in want) > 11
+
+
+def test_wide_sketches_of_long_sets():
+    """Long sets that are far apart are told by their wide sketches, which the fixed width allows; links always pass."""
+    draw = np.random.default_rng(9)
+    for n, percent in ((1025, 80), (6000, 80), (20_000, 90), (60_000, 90)):
+        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        allowed = lambda b, k: k * (100 + percent) <= (len(a) + len(b)) * (100 - percent)  # noqa: B023, E731
+        for kept in (1.0, 0.97, 0.9, 0.3, 0.0):
+            b = np.unique(np.concatenate([a[: int(kept * n)], draw.integers(0, 2**63, n - int(kept * n)).astype(np.uint64)]))
+            far = jaccard.distance(jaccard.wide_sketch(a), jaccard.wide_sketch(b))
+            assert far <= len(np.setxor1d(a, b))
+            if jaccard.similar(a, b, percent):
+                assert allowed(b, far)
+            if kept < 0.5:
+                assert not allowed(b, far)
+    assert allowed(b, jaccard.distance(jaccard.sketch(a), jaccard.sketch(b)))  # the fixed width is full
+    assert jaccard.wide_sketch(a[:1024]) is None and jaccard.distance(jaccard.wide_sketch(a), jaccard.sketch(a)) == 0
+
+
+def test_sets_are_made_of_near_classes_only(spark, monkeypatch):
+    """Long texts that share passages but are far apart are not fetched for a check; near ones are, and are linked."""
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randrange(10**9)}"
+    passage = " ".join(word() for _ in range(3000))
+    texts = [passage + " " + " ".join(word() for _ in range(3000)) for _ in range(6)]
+    rows = [*enumerate([*texts, texts[2] + " other", " ".join(word() for _ in range(40))])]
+    fetched, sets = [], jaccard._sets
+
+    def seen(docs, reps, s):
+        fetched.extend(r.doc_id for r in reps.collect())
+        return sets(docs, reps, s)
+
+    monkeypatch.setattr(jaccard, "_sets", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in jaccard.keep_one(docs).collect()}
+    assert kept == set(range(8)) - {6} and set(fetched) == {2, 6}

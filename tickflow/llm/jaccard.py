@@ -13,7 +13,9 @@ fewer of them than the P - d parts that must agree.
 Sets that share a key are candidates.  First each is checked against the least
 class of its key, where the Hamming distance of their sketches allows a link; then, for keys whose sets are not yet in one component, pairs
 across components pass a Hamming filter and are checked, in rounds, until they are
-joined or no unchecked pair is left.  Checks compare whole sets.  Linked sets lie in one component, so the
+joined or no unchecked pair is left.  Long sets have a second sketch as wide as they need, since one of fixed width fills
+up and allows every pair.  Checks compare whole sets, which are made only for the classes of pairs that both sketches allow.
+Linked sets lie in one component, so the
 links of a class are counted there, between bands of classes; copies are not expanded.
 
 Defined results for odd input
@@ -131,12 +133,27 @@ def keys_of(values: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch(values: np.ndarray) -> bytes:
+def sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> bytes:
     """A parity sketch of fixed width."""
-    bits = np.bincount((mix(values) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    bits = np.bincount((mix(values) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(values: np.ndarray) -> bytes | None:
+    """A sketch of two to four bits a shingle; None where the one of fixed width has as many."""
+    words = SKETCH_WORDS
+    while 32 * words < len(values):
+        words *= 2
+    return sketch(values, words) if words > SKETCH_WORDS else None
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two sketches, the wider folded to the width of the other."""
+    width = min(len(a), len(b))
+    one, other = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in (a, b))
+    return int(np.bitwise_count(one ^ other).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if not len(a) or not len(b):
         return False
@@ -158,12 +175,14 @@ def _classes(docs: DataFrame, s: Settings) -> DataFrame:
                     batch.column(2),
                     pa.array([len(v) for v in sets], pa.int64()),
                     pa.array([class_of(v) if len(v) else None for v in sets], pa.int64()),
+                    pa.array([sketch(v) if len(v) else None for v in sets], pa.binary()),
+                    pa.array([wide_sketch(v) for v in sets], pa.binary()),
                 ],
-                ["doc_id", "digest", "n_shingles", "cls"],
+                ["doc_id", "digest", "n_shingles", "cls", "sketch", "wide"],
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return rows.mapInArrow(classify, "doc_id long, digest long, n_shingles long, cls long")
+    return rows.mapInArrow(classify, "doc_id long, digest long, n_shingles long, cls long, sketch binary, wide binary")
 
 
 def _shared_keys(docs: DataFrame, s: Settings) -> DataFrame:
@@ -246,10 +265,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return rows.sortWithinPartitions("pivot", "salt", "rest").mapInArrow(check, "a long, b long")
 
 
-def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     """The ``pairs`` (cls, pivot) whose sketches allow a link: their Hamming distance is at most the difference that links have."""
-    one = sets.select("cls", "n", "sketch")
-    other = sets.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("against"))
+    one = sketches.select("cls", "n", "sketch")
+    other = sketches.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("against"))
     rows = pairs.join(one, "cls").join(other, "pivot").select("cls", "pivot", "n", "m", "sketch", "against")
 
     @released
@@ -263,22 +282,41 @@ def _near(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return rows.mapInArrow(compare, "cls long, pivot long")
 
 
+def _near_long(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """The ``pairs`` (cls, pivot), near by sketches of fixed width, that the wide ones allow too; pairs without two wide ones stay."""
+    one = sketches.select("cls", "n", "wide")
+    other = sketches.select(F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("wide").alias("against"))
+    rows = pairs.join(one, "cls").join(other, "pivot").select("cls", "pivot", "n", "m", "wide", "against")
+
+    @released
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(iter([whole]), "wide", CHUNK):
+                n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+                far = np.array([distance(a, b) if a and b else 0 for a, b in both])
+                near = far * (100 + s.percent) <= n * (100 - s.percent)
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["cls", "pivot"])
+
+    return rows.mapInArrow(compare, "cls long, pivot long")
+
+
 def _sets(docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """(cls, n, sketch, shingles) of the documents that stand for the classes ``reps`` (doc_id, cls)."""
+    """(cls, shingles) of the documents that stand for the classes ``reps`` (doc_id, cls)."""
 
     @released
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "packed", CHUNK // 4):
             wanted = batch.column(0).to_pylist()
             sets = shingle_sets(unpack_texts(batch.column(1)), s)
-            rows = [(c, len(v), sketch(v), v.tobytes()) for c, v in zip(wanted, sets, strict=True) if class_of(v) == c]
+            rows = [(c, v.tobytes()) for c, v in zip(wanted, sets, strict=True) if class_of(v) == c]
             if rows:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                types = (pa.int64(), pa.binary())
                 arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["cls", "n", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays(arrays, ["cls", "shingles"])
 
     texts = packed_texts(docs).join(reps, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "packed")
-    return texts.mapInArrow(build, "cls long, n long, sketch binary, shingles binary")
+    return texts.mapInArrow(build, "cls long, shingles binary")
 
 
 def _across(rows: DataFrame, s: Settings, pace: int) -> DataFrame:
@@ -351,15 +389,25 @@ def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, digest, n_shingles, cls, root) of every row, the components and the sets; blank texts have no root."""
+    """(doc_id, digest, n_shingles, cls, root) of every row, the components, and the documents (doc_id, cls) that stand for
+    the classes that share a key; blank texts have no root."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = written(_classes(docs, s))
+    sketched = written(_classes(docs, s))
+    classes = sketched.drop("sketch", "wide")
     shared = written(_shared_keys(docs, s))
     star = written(shared.filter("cls <> pivot").select("cls", "pivot").distinct())
     wanted = star.select("cls").union(star.select(F.col("pivot").alias("cls"))).distinct()
-    reps = classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls")
-    sets = written(_sets(docs, reps, s))
-    roots = components(_verified(written(_near(star, sets, s)), sets, s))
+    reps = written(classes.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls"))
+    sketches = sketched.select("cls", F.col("n_shingles").alias("n"), "sketch", "wide").join(reps, "cls", "left_semi")
+    sketches = written(sketches.dropDuplicates(["cls"]))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (cls, pivot), near by sketches of fixed width: only what wide ones allow is fetched and checked."""
+        pairs = written(_near_long(pairs, sketches, s))
+        ends = pairs.select("cls").union(pairs.select(F.col("pivot").alias("cls"))).distinct()
+        return _verified(pairs, _sets(docs, written(reps.join(ends, "cls")), s), s)
+
+    roots = components(links(written(_near(star, sketches, s))))
 
     failed, keys, pace = None, shared.select("key", "cls"), 1
     while True:
@@ -369,7 +417,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
         labelled = written(labelled.select("key", "cls", F.coalesce("root", "cls").alias("label")))
         open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
         keys = written(labelled.join(written(open_keys.select("key")), "key"))
-        rows = keys.join(sets.select("cls", "n", "sketch"), "cls")
+        rows = keys.join(sketches.select("cls", "n", "sketch"), "cls")
         keys = keys.select("key", "cls")
         if failed is None:
             rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
@@ -383,7 +431,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
         if not given.limit(1).count():
             break
         keys = keys.join(given.select("key").distinct(), "key", "left_semi")
-        found = written(_verified(across, sets, s))
+        found = written(links(across))
         missed = across.join(found.select(F.col("a").alias("cls"), F.col("b").alias("pivot")), ["cls", "pivot"], "left_anti")
         both = missed.union(missed.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot")))
         failed = written(both if failed is None else failed.union(both))
@@ -392,7 +440,7 @@ def _joined(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
         elif not missed.limit(1).count():
             break
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return named, roots, sets
+    return named, roots, reps
 
 
 def _link_counts(roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -442,7 +490,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     ``n_links`` counts all other classes that the row's class is linked to; copies are one class.
     """
-    named, roots, sets = _joined(docs, s)
+    named, roots, reps = _joined(docs, s)
+    sets = written(_sets(docs, written(reps.join(roots.select(F.col("node").alias("cls")), "cls")), s))
     counts = _link_counts(roots, sets, s)
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     return (
