@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickflow.operators import audit as A
 from tickflow.operators import streams as S
@@ -127,3 +129,49 @@ def test_audit_report_by_session(spark):
     assert (got["x", "both_sides"], got["x", "timestamps_of_2_fills"], got["x", "shares"], got["x", "merge_0_events"]) == (1, 1, 15, 2)
     assert (got["y", "records"], got["y", "gap_max"]) == (1, None) and ("y", "executions") not in got
     assert A.report(tape.limit(0)).count() == 0
+
+
+def test_lag_sums_are_those_of_the_pairs(spark):
+    """Ties, repeated and null keys, blocks without events, and events whose distance is the reach but for rounding, as in the SQL."""
+    rng = np.random.default_rng(3)
+    ns = np.sort(np.concatenate([rng.integers(0, 4000, 300) * 10**9, rng.integers(0, 86_400_000_000, 300) * 1000, np.array([86_399_999_999_000])]))
+    edge = np.array([n for n in rng.integers(0, 80_000_000_000, 2000).tolist() if ((n * 1000) / 1e9 > (n * 1000 + 1800 * 10**9) / 1e9 - 1800) != ((n * 1000 + 1800 * 10**9) / 1e9 - (n * 1000) / 1e9 < 1800)])
+    assert len(edge) > 3
+    ns = np.sort(np.concatenate([ns, edge * 1000, edge * 1000 + 1800 * 10**9]))
+    rows = [(1 + k % 2, k // 3, float(n) / 1e9) for k, n in enumerate(ns.tolist())]
+    rows += [(2, 7000 + k, 50_000 + k / 1e6) for k in range(0, 3000)] + [(None, 1, 5.0), (1, 2, None), (2, None, 50_000.5)]
+    expected = {}
+    for day in (1, 2):
+        t = np.array(sorted(r[2] for r in rows if r[0] == day and r[2] is not None))
+        for _, seq, at in (r for r in rows if r[0] == day and r[2] is not None):
+            near = t[(t < at) & (t > at - 1800)]
+            n, total = expected.get((day, seq), (0, 0.0))
+            expected[day, seq] = (n + len(near), total + (at - near).sum())
+    got = {(r.day, r.seq_i): (r.pairs, r.total) for r in W.lag_sums(spark.createDataFrame(rows, "day long, seq long, t double"), 1800.0).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: n for k, (n, _) in expected.items() if n}
+    assert all(abs(v[1] - expected[k][1]) < 1e-6 for k, v in got.items())
+
+
+def test_the_lag_query_makes_no_pairs(spark, tmp_path):
+    """10,000 events within reach of each other are 50 million pairs; no step of the query has more than a few rows for each event."""
+    from tickflow.plans import stream_queries as Q
+
+    ts = F.to_timestamp_ntz(F.lit("2024-01-01 10:00:00")) + F.make_dt_interval(secs=F.col("id") / 10)
+    spark.range(10_000).select(F.col("id").alias("event_id"), ts.alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    rows = Q.lag_pairs(spark, str(tmp_path))
+    assert rows.agg(F.sum("pairs")).first()[0] == 10_000 * 9_999 // 2
+    plan = rows._jdf.queryExecution().executedPlan()
+    rows.collect()
+    seen, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            seen.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    assert seen and max(seen) <= 40_000
