@@ -211,3 +211,36 @@ def test_equal_files(spark, tmp_path):
     got = sorted((r.doc_id, round(r.base_score, 9)) for r in lm.score_documents(docs).collect())
     want = sorted((i, round(b[3], 9)) for (i, _), b in zip(rows * 2, brute_base(rows * 2), strict=True))
     assert got == want
+
+
+def test_every_context_has_an_entry():
+    """No three-word context of a text is left out, and what follows each goes to the end of the next word."""
+    words = [f"w{k % 37}x{k % 11}" for k in range(400)]
+    r = lm.read([" ".join(words).encode(), b"a b", b"", b"one two three four"])
+    assert len(r.context) == 398 + 0 + 0 + 2
+    assert lm.followers(r)[:397] == [f" {w}".encode() for w in words[3:]] and lm.followers(r)[397:] == [b"", b" four", b""]
+    assert len(set(r.context.tolist())) == len({tuple(words[k : k + 3]) for k in range(398)}) + 2
+
+
+def test_lists_go_to_bytes_and_back():
+    draw = np.random.default_rng(8)
+    key = np.sort(draw.integers(-(1 << 63), (1 << 63) - 1, 300))
+    for k in (key, draw.permutation(key), key[:0]):
+        m = len(k)
+        x = lm.Listed(k, draw.integers(0, 9, m), draw.random(m) < 0.5, draw.integers(0, 3, m), b"", draw.random(m) < 0.5)
+        y = lm.Listed.unpack(zstandard.ZstdDecompressor().decompress(x.pack()))
+        assert all(np.array_equal(getattr(x, f), getattr(y, f)) for f in ("key", "n", "held", "size", "sure"))
+
+
+def test_contexts_with_many_followers():
+    """A text that follows less often than all others together is not sure, and its states are those of its places."""
+    texts = [f"x y z {w}".encode() for w in ("aa", "aa", "bb", "cc", "dd")] + [b"p q r ss"] * 3
+    listed, begin = lm.list_block(texts, np.ones(8, bool))
+    listed.after = lm.slices(listed.after, begin, listed.size)
+    ((_, _, _, packed),) = lm.part_totals([(0, listed)])
+    known = lm.Known([zstandard.ZstdDecompressor().decompress(packed)])
+    r = lm.read([b"x y z ab", b"p q r ss"])
+    predicted, state = known.followed(r, np.array([True, True]))
+    assert bytes(predicted[5:8].astype(np.uint8)) == b" aa" and state[5:8].tolist() == [12, 13, 14]
+    at = r.texts.bounds[1] + 5
+    assert bytes(predicted[at : at + 3].astype(np.uint8)) == b" ss" and state[at : at + 3].tolist() == [4, 4, 4]
